@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from peakloom.functions.keys import SPACE, record_key_sql, structure_key_sql
-from peakloom.llm import capping, overlaps, splits, survivors
+from peakloom.llm import capping, languages, leaks, mixing, neighbours, overlaps, splits, survivors
 from peakloom.session import table
 
 
@@ -12,15 +12,24 @@ def queries():
     train = lambda s, d: t(s, d, "train_spectra")
     test = lambda s, d: t(s, d, "test_spectra")
     structs = lambda s, d: t(s, d, "train_structs")
+    docs = lambda s, d: t(s, d, "documents")
     return {
         "p1_found": lambda s, d: splits.moved_records(train(s, d), structs(s, d)),
         "p1_splits": lambda s, d: splits.assign_splits(train(s, d), structs(s, d), t(s, d, "split_targets")),
         "p2_found": lambda s, d: overlaps.matches(train(s, d), test(s, d)).select("rid", "spectrum_id"),
         "p2_report": lambda s, d: overlaps.overlap_report(overlaps.matches(train(s, d), test(s, d)), train(s, d), test(s, d)),
+        "p3_found": lambda s, d: neighbours.similar_structures(structs(s, d)),
+        "p3_structures": lambda s, d: neighbours.nearest(neighbours.usable(structs(s, d)).select("sid", "fp"), "sid", "fp").withColumnRenamed("id", "sid"),
+        "p3_spectra": lambda s, d: neighbours.similar_spectra(train(s, d)),
         "p4_found": lambda s, d: survivors.survivors(t(s, d, "pubchem_rows")).select("ik", "cid", "smiles_cid", "mass_cid"),
         "p4_survivors": lambda s, d: survivors.survivors(t(s, d, "pubchem_rows")).select("ik", "cid", "smiles", "mass", "n_rows"),
         "p6_found": lambda s, d: capping.dropped(train(s, d)),
         "p6_capped": lambda s, d: capping.cap_records(train(s, d)).select("rid", "lib", "group_key", "kept"),
+        "p7_found": lambda s, d: leaks.leaks(docs(s, d), t(s, d, "eval_items")).select("doc_id", "item_id"),
+        "p8_mix": lambda s, d: mixing.mix(docs(s, d), t(s, d, "mix_targets"))[0],
+        "p8_shares": lambda s, d: mixing.mix(docs(s, d), t(s, d, "mix_targets"))[1],
+        "p9_found": lambda s, d: languages.document_languages(docs(s, d)).where("not right").select("doc_id", "lang"),
+        "p9_stretches": lambda s, d: languages.identify(docs(s, d)),
     }
 
 
