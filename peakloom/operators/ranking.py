@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _w(group: Sequence[str]):
@@ -63,19 +64,13 @@ def zscore(x: str, group: Sequence[str], sample: bool = False, add: float = 0.0,
     """(x - mean) / (sd + add); population or sample sd; 0 where the sd is at most ``least`` or missing."""
     w = _w(group)
     sd = (F.stddev_samp if sample else F.stddev_pop)(x).over(w)
-    z = (F.col(x) - F.avg(x).over(w)) / (sd + add)
+    z = F.try_divide(F.col(x) - F.avg(x).over(w), sd + add)
     low = sd.isNull() | F.isnan(sd)
     if least is not None:
         low = low | (sd <= least)
     return F.when(low, F.lit(0.0)).otherwise(z)
 
 
-def softmax(x: str, group: Sequence[str]) -> Column:
-    w = _w(group)
-    e = F.exp(F.col(x) - F.max(x).over(w))
-    return e / F.sum(F.exp(F.col(x) - F.max(x).over(w))).over(w)  # nested windows are split by the planner
-
-
 def with_softmax(df: DataFrame, x: str, group: Sequence[str], name: str = "p") -> DataFrame:
     """Adds the softmax of ``x`` within the group."""
     w = _w(group)
@@ -97,7 +92,7 @@ def isotonic_decreasing(df: DataFrame, group: Sequence[str], order: str, x: str,
         pdf[name] = [b[0] for b in blocks for _ in range(int(b[2]))]
         return pdf
 
-    schema = df.schema.add(name, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
     return df.groupBy(*group).applyInPandas(fit, schema)
 
 
