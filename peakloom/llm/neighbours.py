@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.peaks import flat_peaks
 from peakloom.llm.graph import BATCH, ENTRIES, Bits, Dense, Graph
-from peakloom.operators.skew import hot_keys, salted_join
+from peakloom.operators.skew import hot_keys, salted_join, spread_labels
 from peakloom.session import cut
 
 K = 5
@@ -69,13 +69,23 @@ def class_neighbours(classes: DataFrame, space: str, k: int, queries: DataFrame
         graph = Graph(make(pdf.vec.tolist()), **settings)
         return pd.DataFrame({"shard": [key[0]], "graph": [zlib.compress(pickle.dumps((pdf.rep.to_numpy(), graph), 5), 1)]})
 
-    dealt = classes.select("rep", "vec", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
+    def label(index: Column, labels: list[int]) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in labels]), (index + 1).cast("int"))
+
+    spark = classes.sparkSession
+    own = spread_labels(spark, shards)
+    dealt = classes.select("rep", "vec", label(F.pmod(F.xxhash64("rep"), F.lit(shards)), own).alias("shard"))
     graphs = cut(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, graph binary"), "graphs")
     asked = (classes if queries is None else queries).select("rep", "vec")
     count = n if queries is None else asked.count()
     blocks = max(1, -(-count // QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # one task for each shard and block of queries
+    tasks = shards * blocks
+    both = spread_labels(spark, tasks)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = asked.select("rep", "vec", label(F.col("s") * blocks + F.col("block"), both).alias("task")).repartition(tasks, "task")
+    order = F.array_position(F.array(*[F.lit(x) for x in own]), F.col("shard")) - 1
+    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("graph", label(order * blocks + F.col("block"), both).alias("task")).repartition(tasks, "task")
 
     def search(key, g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -97,7 +107,7 @@ def class_neighbours(classes: DataFrame, space: str, k: int, queries: DataFrame
                 out.append(pd.DataFrame({"rep": who, "other": other.ravel()[~bad.ravel()], "sim": sims.ravel()[~bad.ravel()]}))
         return pd.concat(out) if out else pd.DataFrame({"rep": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
 
-    found = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, f"rep {kind}, other {kind}, sim double")
+    found = graphs.groupBy("task").cogroup(asked.groupBy("task")).applyInPandas(search, f"rep {kind}, other {kind}, sim double")
     best = Window.partitionBy("rep").orderBy(F.col("sim").desc(), "other")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
