@@ -34,7 +34,7 @@ def _dense(blobs) -> Dense:
 
 
 #: How each kind of vector is read, how its graphs are built, and the beam of its searches.
-SPACES = {"bits": (_bits, {}, 48), "dense": (_dense, {"degree": 16, "beam": 32, "passes": 1}, 96)}
+SPACES = {"bits": (_bits, {}, 48), "dense": (_dense, {"degree": 20, "beam": 40, "passes": 1}, 256)}
 
 
 def _exact(space, q: np.ndarray, qn: np.ndarray, ids: np.ndarray) -> np.ndarray:
