@@ -41,12 +41,14 @@ COMMON = {
 #: Documents in the sample at most, passages of a language at most, rounds over the passages.
 SAMPLE_DOCUMENTS, SAMPLE_PASSAGES, EPOCHS = 20_000, 1500, 5
 BITS = 16
+#: Characters that are scored at once of a long passage.
+PART = 20_000
 #: A passage has at least so many words (or characters, where words aren't divided).
 LEAST_WORDS, LEAST_SIGNS = 4, 6
 PIECE = 9
 
 _ALIAS = {n: code for code, names in NAMES.items() for n in names.split()}
-_CODED = re.compile(r"[A-Za-z+\[(/-]*\d[A-Za-z0-9.,:+\-\[\]()/]*|\[[^\]\s]*\][+-]?|\b[A-Z]{2}-(?=\s|$)")
+_CODED = re.compile(r"[A-Za-z+\[(/-]{0,40}\d[A-Za-z0-9.,:+\-\[\]()/]*|\[[^\[\]\s]{0,60}\][+-]?|\b[A-Z]{2}-(?=\s|$)")
 _REMARK = re.compile(r"\([^()\n]{0,80}\)|（[^（）\n]{0,40}）|\[[^\[\]\n]{0,80}\]|“[^“”\n]{0,60}”|„[^„“\n]{0,60}“|«[^«»\n]{0,60}»|「[^「」\n]{0,30}」|\"[^\"\n]{0,60}\"")
 _END = re.compile(r"(?<=[.!?;:])\s+|(?<=[。！？])|\n\s*\n|\n(?=[#>\[\d])")
 _SIGN = r"぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
@@ -163,20 +165,27 @@ class Model:
         self.weights = np.concatenate(parts, axis=1)
 
     def scores(self, texts: list[str], chunk: int = 150_000) -> np.ndarray:
-        """Margins of all machines (texts x machines)."""
-        out, lo = [np.zeros((0, self.weights.shape[1]), "f4")], 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= chunk):
-                size += len(texts[hi])
+        """Margins of all machines (texts x machines). Texts of any length are taken in parts whose sums are added up."""
+        part, owner = [], []
+        for i, t in enumerate(texts):
+            for at in range(0, max(1, len(t)), PART):
+                part.append(t[at : at + PART])
+                owner.append(i)
+        sums, size = np.zeros((len(texts), self.weights.shape[1]), "f8"), np.zeros(len(texts))
+        lo = 0
+        while lo < len(part):
+            hi, chars = lo, 0
+            while hi < len(part) and (hi == lo or chars + len(part[hi]) <= chunk):
+                chars += len(part[hi])
                 hi += 1
-            slots, starts = features(texts[lo:hi])
-            # the square roots of counts of repeated n-grams are as good as the counts in short passages
-            sums = np.add.reduceat(np.concatenate([self.weights[slots], np.zeros((1, self.weights.shape[1]), "f4")]), np.minimum(starts[:-1], len(slots)), axis=0)
-            n = np.diff(starts)[:, None]
-            out.append(np.where(n > 0, sums / np.sqrt(np.maximum(n, 1)), 0.0))
+            slots, starts = features(part[lo:hi])
+            # square roots of the counts, as in training, differ little from the counts in short passages
+            add = np.add.reduceat(np.concatenate([self.weights[slots], np.zeros((1, self.weights.shape[1]), "f4")]), np.minimum(starts[:-1], len(slots)), axis=0)
+            n = np.diff(starts)
+            np.add.at(sums, owner[lo:hi], np.where(n[:, None] > 0, add, 0.0))
+            np.add.at(size, owner[lo:hi], n)
             lo = hi
-        return np.concatenate(out)
+        return sums / np.sqrt(np.maximum(size, 1))[:, None]
 
     def classify(self, texts: list[str], kinds: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, confidence) of each passage. The script limits the families."""
