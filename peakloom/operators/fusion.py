@@ -82,10 +82,11 @@ def slot_insert(base: DataFrame, extra: DataFrame, slots: Sequence[int], promote
     """Extra keys at fixed positions of the result, base keys in the others; promoted, the first extra key leads instead."""
     new = rerank(extra.join(base.select(MID, KEY), [MID, KEY], "left_anti"), [F.col(RANK), F.col(KEY)], len(slots))
     slots = sorted(slots)
-    places = F.array(*[F.lit(float(s)) for s in ([0.5, *slots[1:]] if promote else slots)])
+    slots = [1, *slots[1:]] if promote else slots
+    places = F.array(*[F.lit(float(s)) for s in slots])
     # base rank r goes to the r-th position that no slot takes
     free = F.col(RANK).cast("double")
-    for s in (slots[1:] if promote else slots):
+    for s in slots:
         free = F.when(free >= s, free + 1).otherwise(free)
     return by_position([(new, F.element_at(places, F.col(RANK).cast("int"))), (base, free)])
 

@@ -139,7 +139,7 @@ def _(t):
 
 
 @q("j24_analog_window", f"""SELECT t.spectrum_id, count(*) AS n FROM test_spectra t JOIN train_spectra r ON r.adduct = t.adduct AND r.precursor_mz BETWEEN t.precursor_mz - 50 AND t.precursor_mz + 50
-    WHERE t.precursor_mz > 0 AND NOT isnan(t.precursor_mz) AND NOT isnan(r.precursor_mz) AND r.quality_score > 0.95 AND r.quality_score <= 1 GROUP BY 1""")
+    WHERE t.precursor_mz > 0 AND NOT isnan(t.precursor_mz) AND NOT isnan(r.precursor_mz) AND NOT isnan(r.quality_score) AND r.quality_score > 0.95 AND r.quality_score <= 1 GROUP BY 1""")
 def _(t):
     w = finite(t.test_spectra).select("spectrum_id", "adduct", (F.col("precursor_mz") - 50).alias("lo"), (F.col("precursor_mz") + 50).alias("hi"))
     p = t.train_spectra.where("quality_score > 0.95 and quality_score <= 1").select("rid", "adduct", F.col("precursor_mz").alias("p"))

@@ -142,7 +142,7 @@ def _(t):
     return t.train_structs.where(m > 0).select("sid", F.floor(m * 1000).alias("milli"), F.round(F.sqrt(m), 6).alias("root"), F.round(F.log1p("n_spec"), 6).alias("l1p"), F.round(F.log2(F.col("n_heavy") + 1), 6).alias("l2"), F.round(F.log10(m), 6).alias("l10"), F.round(F.pow(m, 0.25), 6).alias("quarter"), F.round(F.exp(-m / 500), 6).alias("decay"), F.greatest("n_heavy", "n_spec").alias("most"), F.least("n_heavy", "n_spec").alias("fewest"))
 
 
-@q("x_logit", "SELECT rid, round(ln(p / (1 - p)), 6) AS logit, round(1 / (1 + exp(-quality_score)), 6) AS sigmoid FROM (SELECT rid, quality_score, least(greatest(quality_score, 0.01), 0.99) AS p FROM train_spectra WHERE quality_score BETWEEN 0 AND 1)")
+@q("x_logit", "SELECT rid, round(ln(p / (1 - p)), 6) AS logit, round(1 / (1 + exp(-quality_score)), 6) AS sigmoid FROM (SELECT rid, quality_score, least(greatest(quality_score, 0.01), 0.99) AS p FROM train_spectra WHERE NOT isnan(quality_score) AND quality_score BETWEEN 0 AND 1)")
 def _(t):
     p = F.least(F.greatest(F.col("quality_score"), F.lit(0.01)), F.lit(0.99))
     return t.train_spectra.where("quality_score between 0 and 1").select("rid", F.round(F.ln(p / (1 - p)), 6).alias("logit"), F.round(1 / (1 + F.exp(-F.col("quality_score"))), 6).alias("sigmoid"))

@@ -29,7 +29,7 @@ def per_key(df: DataFrame) -> DataFrame:
     n_spectra counts different peak lists, n_adducts different adducts. Distinct counts go through the same tree: first by
     (value, adduct) and (value, peak list), of which each then stands once.
     """
-    rows = values_of(df.select(*FIELDS, "adduct", F.coalesce(F.size("ms2_mzs"), F.lit(0)).alias("peaks"), F.md5(F.concat(F.to_json(F.struct("ms2_mzs")), F.to_json(F.struct("ms2_normalized_intensities")))).alias("spectrum")), "adduct", "peaks", "spectrum")
+    rows = values_of(df.select(*FIELDS, "adduct", F.coalesce(F.size("ms2_mzs"), F.lit(0)).alias("peaks"), F.when(F.col("ms2_mzs").isNotNull(), F.md5(F.concat(F.to_json(F.struct("ms2_mzs")), F.to_json(F.struct("ms2_normalized_intensities"))))).alias("spectrum")), "adduct", "peaks", "spectrum")
     by_adduct = tree_aggregate(rows, ["field", "value", "adduct"], {"n": (F.lit(1), "sum"), "p": (F.greatest(F.col("peaks"), F.lit(0)).cast("bigint"), "sum")})
     by_spectrum = tree_aggregate(rows, ["field", "value", "spectrum"], {"n": (F.lit(1), "sum")})
     left = by_adduct.groupBy("field", "value").agg(F.sum("n").alias("n_records"), F.sum("p").alias("n_peaks"), F.count("adduct").alias("n_adducts"))
@@ -47,7 +47,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": f"WITH v AS ({union}) SELECT field, value FROM v WHERE value IS NOT NULL GROUP BY field, value HAVING count(*) * 40 >= (SELECT count(*) FROM train_spectra)",
         "p5_per_key": f"""WITH v AS ({union}) SELECT field, value, count(*) AS n_records,
-            count(DISTINCT hash(ms2_mzs, ms2_normalized_intensities)) AS n_spectra, CAST(sum(coalesce(len(ms2_mzs), 0)) AS BIGINT) AS n_peaks, count(DISTINCT adduct) AS n_adducts FROM v GROUP BY field, value""",
+            count(DISTINCT hash(ms2_mzs, ms2_normalized_intensities)) FILTER (WHERE ms2_mzs IS NOT NULL) AS n_spectra, CAST(sum(coalesce(len(ms2_mzs), 0)) AS BIGINT) AS n_peaks, count(DISTINCT adduct) AS n_adducts FROM v GROUP BY field, value""",
     }
 
 
