@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -230,18 +234,18 @@ def _(t):
 
 @q("k28_peak_explanation")
 def _(t):
-    import numpy as np
-    import pandas as pd
+    @functools.lru_cache(maxsize=20_000)
+    def masses(smiles):
+        g = C.parse_smiles(smiles)
+        return None if g is None else C.fragment_masses([C.MASS[e] + h * C.MASS["H"] for e, h in zip(g[0], g[1])], g[2], 1)
 
     def run(batches):
         for pdf in batches:
             out = []
             for rid, smiles, mz, it in zip(pdf.rid, pdf.smiles, pdf.ms2_mzs, pdf.ms2_normalized_intensities):
-                g = C.parse_smiles(smiles)
-                if g is None or mz is None or not len(mz) or len(mz) != len(it):
+                if mz is None or not len(mz) or len(mz) != len(it) or masses(smiles) is None:
                     continue
-                w = [C.MASS[e] + h * C.MASS["H"] for e, h in zip(g[0], g[1])]
-                ok = C.explained(C.fragment_masses(w, g[2], 1), np.asarray(mz), 1.00727646688, 2)
+                ok = C.explained(masses(smiles), np.asarray(mz), 1.00727646688, 2)
                 v = np.sqrt(np.maximum(it, 0))
                 out.append((rid, float(ok.mean()), float((v * ok).sum() / v.sum()) if v.sum() else 0.0))
             yield pd.DataFrame(out, columns=["rid", "count_share", "intensity_share"])
