@@ -234,12 +234,12 @@ def _(t):
 
 @q("k28_peak_explanation")
 def _(t):
-    @functools.lru_cache(maxsize=20_000)
-    def masses(smiles):
-        g = C.parse_smiles(smiles)
-        return None if g is None else C.fragment_masses([C.MASS[e] + h * C.MASS["H"] for e, h in zip(g[0], g[1])], g[2], 1)
-
     def run(batches):
+        @functools.lru_cache(maxsize=20_000)
+        def masses(smiles):
+            g = C.parse_smiles(smiles)
+            return None if g is None else C.fragment_masses([C.MASS[e] + h * C.MASS["H"] for e, h in zip(g[0], g[1])], g[2], 1)
+
         for pdf in batches:
             out = []
             for rid, smiles, mz, it in zip(pdf.rid, pdf.smiles, pdf.ms2_mzs, pdf.ms2_normalized_intensities):
