@@ -40,10 +40,11 @@ def cap_records(records: DataFrame, cap: int = CAP) -> DataFrame:
     """(rid, lib, group_key, score, kept): each record of train_spectra that has a lib and a key.
 
     Best first: sound scores from high to low, then the rest alike, then the smaller rid. Records without a key or lib stay
-    out. Columns beside the needed ones don't matter; repeated rids count as one record each time they stand in the table.
+    out. Columns beside the needed ones don't matter. A rid that stands several times takes several places of the cap, and all
+    its rows are kept if one is.
     """
     rows = records.select(F.col("rid"), contributor("ingest_lib").alias("lib"), record_key().alias("group_key"), sound_score("quality_score").alias("score")).where("lib is not null and group_key is not null")
-    kept = bounded_heaps(rows, ["lib", "group_key"], "score", "rid", cap).select("rid", F.lit(True).alias("kept"))
+    kept = bounded_heaps(rows, ["lib", "group_key"], "score", "rid", cap).select("rid").distinct().withColumn("kept", F.lit(True))
     return rows.join(kept, "rid", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 

@@ -39,7 +39,7 @@ COMMON = {
     "zh": "的 是 在 了 和 不 我们 这 有 与 为 中 对 并 从 请 上 之后 没有 因为 它们 一个 可以",
 }
 #: Documents in the sample at most, passages of a language at most, rounds over the passages.
-SAMPLE_DOCUMENTS, SAMPLE_PASSAGES, EPOCHS = 20_000, 1500, 5
+SAMPLE_DOCUMENTS, SAMPLE_PASSAGES, EPOCHS = 20_000, 1000, 3
 BITS = 16
 #: Characters that are scored at once of a long passage.
 PART = 20_000
@@ -270,6 +270,8 @@ def train(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample
 
 #: A sentence below DOUBT takes the main language of its text; a piece at or above CERTAIN may differ from its sentence.
 DOUBT, CERTAIN, LEAST_PIECE = 0.9, 0.98, 25
+#: Latin passages with fewer letters don't bring in a language of their own; they are remarks, or mostly names.
+SHORT = 45
 
 
 def _script_of(lang: str) -> str:
@@ -298,12 +300,13 @@ def stretches(model: Model, texts: list[str | None]) -> list[list[tuple[str, flo
                 for y, d, q in own:
                     parts.append((y, d, q) if y == x or (d >= CERTAIN and len(q) >= LEAST_PIECE) else (x, min(c, 1 - d), q))
         weight: dict[str, float] = {}
-        for x, c, p in parts:
-            if c >= DOUBT:
+        vague = [c < DOUBT or (len(p) < SHORT and _script_of(x) == "latin") for x, c, p in parts]
+        for (x, c, p), v in zip(parts, vague):
+            if not v:
                 weight[x] = weight.get(x, 0.0) + len(p)
         merged: list[list] = []
-        for x, c, p in parts:
-            if c < DOUBT and x not in weight and (same := [y for y in weight if _script_of(y) == _script_of(x)]):
+        for (x, c, p), v in zip(parts, vague):
+            if v and x not in weight and (same := [y for y in weight if _script_of(y) == _script_of(x)]):
                 x = max(same, key=lambda y: (weight[y], y))
             if merged and merged[-1][0] == x:
                 merged[-1][1].append((c, len(p)))

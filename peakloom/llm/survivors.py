@@ -48,7 +48,9 @@ def survivors(rows: DataFrame, key: Column | None = None, salts: int = 16) -> Da
         best = (F.col("r_any") == 1) | (F.col("ok_s") & (F.col("r_s") == 1)) | (F.col("ok_m") & (F.col("r_m") == 1)) | (F.col("ok_b") & (F.col("r_both") == 1))
         return ranked.where(best)
 
-    start = base.withColumns({"ok_b": F.col("ok_s") & F.col("ok_m"), "n": F.lit(1), "lo": F.col("cid"), "hi": F.col("cid"), "salt": F.pmod(F.xxhash64("cid", "updated_at"), F.lit(salts)).cast("int")})
+    # equal rows become one with a count before any window, so copies can't fill a salt
+    once = base.groupBy(*base.columns).agg(F.count("*").alias("n"))
+    start = once.withColumns({"ok_b": F.col("ok_s") & F.col("ok_m"), "lo": F.col("cid"), "hi": F.col("cid"), "salt": F.pmod(F.xxhash64("cid", "updated_at", "smiles", "mass", "trust"), F.lit(salts)).cast("int")})
     local = firsts(start, ["ik", "salt"]).drop("salt")
     # the counts of a salt stand on each of its kept rows; only its first row may carry them on
     local = local.withColumn("n", F.when(F.col("r_any") == 1, F.col("n")).otherwise(0)).drop("r_any", "r_s", "r_m", "r_both")
