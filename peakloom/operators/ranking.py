@@ -101,3 +101,20 @@ def list_dedup(df: DataFrame, group: Sequence[str], key: str, rank: str, cap: in
     best = df.groupBy(*group, key).agg(F.min(rank).alias("__b"))
     out = best.withColumn(rank, F.row_number().over(_w(group).orderBy("__b", key)).cast("bigint")).drop("__b")
     return out.where(F.col(rank) <= cap) if cap else out
+
+
+def ordered_ids(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """Numbers from 0 in a total order of the whole table, without one task that holds it.
+
+    Rows are range-partitioned, counted for each partition and numbered within; the table is cut in between, so that a task
+    that runs again numbers the same rows.
+    """
+    from peakloom.session import cut
+
+    cols = [F.col(c) for c in order]
+    rows = cut(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__p", F.spark_partition_id()), "ordered")
+    sizes = rows.groupBy("__p").agg(F.count("*").alias("__n"))  # one row a partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__p", before.alias("__off"))
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*cols)) - 1
+    return rows.withColumn("__w", within).join(F.broadcast(offsets), "__p").withColumn(name, F.col("__w") + F.col("__off")).drop("__p", "__w", "__off")
