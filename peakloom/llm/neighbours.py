@@ -20,8 +20,12 @@ K = 5
 FP_BYTES = 128
 #: Distinct vectors of a shard; small inputs are cut into up to FEW shards of at least a few thousand for the sake of parallel work.
 SHARD, FEW, SMALL = 32_768, 6, 4_096
-#: Queries of one search task.
-QUERIES = 16_384
+#: Up to so many shards, a query searches all; beyond, rows are dealt by their nearest pivots and a query searches the shards of its own.
+PROBES = 12
+#: Pivots are the first rows of a hash order, PIVOTS a shard, MOST_PIVOTS at most; a row is indexed with its COPIES nearest ones.
+PIVOTS, MOST_PIVOTS, COPIES = 8, 4_096, 2
+#: Queries of one search task: at least the first number, at most the second; in between, as few as make TASKS tasks.
+QUERIES, MOST_QUERIES, TASKS = 16_384, 262_144, 64
 SEED = 5
 
 
@@ -53,39 +57,104 @@ def classes_of(rows: DataFrame, ident: str, vector: str, keep: int) -> DataFrame
     return few.groupBy("vec").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.array_sort(F.collect_list("id")).alias("first"))
 
 
-def class_neighbours(classes: DataFrame, space: str, k: int, queries: DataFrame | None = None) -> DataFrame:
+def _label(index: Column, labels: list[int]) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), (index + 1).cast("int"))
+
+
+def _top_pivots(space: str, pivots: list[bytes], most: int):
+    """A function that adds to (rep, vec) the numbers of the ``most`` nearest pivots."""
+    make = SPACES[space][0]
+
+    def run(batches):
+        fixed = make(pivots)
+        for pdf in batches:
+            rows = make(pdf.vec.tolist())
+            near = []
+            for lo in range(0, len(rows), 256):
+                x, n = rows.take(np.arange(lo, min(lo + 256, len(rows))))
+                if isinstance(rows, Bits):
+                    both = np.stack([np.bitwise_count(x & p).sum(1, dtype="i4") for p in fixed.x], 1)
+                    s = both / np.maximum(1, n[:, None] + fixed.n[None] - both)
+                else:
+                    s = x @ fixed.x.T
+                near.append(np.argsort(-s, 1, kind="stable")[:, :most])
+            yield pdf.assign(pivots=list(np.concatenate(near).astype("i4")) if near else [])
+
+    return run
+
+
+def _routes(classes: DataFrame, asked: DataFrame, space: str, n: int, shard: int, probes: int) -> tuple[int, DataFrame, DataFrame]:
+    """(shards, index rows, queries), both as (rep, vec, s).
+
+    Few shards: rows are dealt by a hash and every query goes to all. Many: rows go to the shards of their nearest pivots,
+    queries to the shards of theirs. A pivot with more than a shard of rows has several shards, dealt by a hash, and all of
+    them are searched; so equal or similar rows in any number don't overfill one.
+    """
+    shards = max(1, -(-n // shard), min(FEW, -(-n // SMALL)))
+    if shards <= probes:
+        dealt = classes.select("rep", "vec", F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("s"))
+        return shards, dealt, asked.select("rep", "vec", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
+    kind = dict(classes.dtypes)["rep"]
+    pivots = [bytes(r[0]) for r in classes.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(min(MOST_PIVOTS, PIVOTS * shards)).select("vec").collect()]
+    routed = lambda df: df.select("rep", "vec").mapInPandas(_top_pivots(space, pivots, 2 * probes), f"rep {kind}, vec binary, pivots array<int>")
+    own = cut(routed(classes), "routed")
+    indexed = own.select("rep", "vec", F.explode(F.slice("pivots", 1, COPIES)).alias("pivot"))
+    # one row a pivot
+    sizes = {r[0]: r[1] for r in indexed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
+    places: list[list[int]] = [[] for _ in pivots]
+    room: list[int] = []
+    for p in sorted(sizes, key=lambda p: (-sizes[p], p)):
+        if sizes[p] >= shard // 2:
+            for _ in range(-(-sizes[p] // shard)):
+                places[p].append(len(room))
+                room.append(shard)
+            continue
+        fit = next((i for i, used in enumerate(room) if used + sizes[p] <= shard), None)
+        if fit is None:
+            fit = len(room)
+            room.append(0)
+        room[fit] += sizes[p]
+        places[p].append(fit)
+    table = F.array(*[F.array(*[F.lit(x) for x in ps]) if ps else F.array().cast("array<int>") for ps in places])
+    at = F.element_at(table, F.col("pivot") + 1)
+    dealt = indexed.select("rep", "vec", F.element_at(at, (F.pmod(F.xxhash64("rep"), F.size(at)) + 1).cast("int")).alias("s")).distinct()
+    asked = own if asked is classes else routed(asked)
+    spots = F.slice(F.array_distinct(F.flatten(F.transform("pivots", lambda p: F.element_at(table, p + 1)))), 1, 2 * probes)
+    first = F.flatten(F.transform(F.slice("pivots", 1, COPIES), lambda p: F.element_at(table, p + 1)))
+    # all shards of the nearest pivots, then further ones up to the number of probes
+    goal = F.array_distinct(F.concat(first, F.slice(spots, 1, probes)))
+    return len(room), dealt, asked.select("rep", "vec", F.explode(goal).alias("s"))
+
+
+def class_neighbours(classes: DataFrame, space: str, k: int, queries: DataFrame | None = None, shard: int = SHARD, probes: int = PROBES) -> DataFrame:
     """(rep, other, sim): for each class (or each of ``queries``, which has rep and vec) its k most similar other classes.
 
-    All classes are dealt to shards by a hash; each shard builds its graph once and keeps it as one row of a table; each
-    block of queries searches every shard. Ties go to the smaller id.
+    Each shard builds its graph once and keeps it as one row of a table; each block of queries searches in the shards it is
+    sent to, one task for each. Ties go to the smaller id.
     """
     make, settings, beam = SPACES[space]
     n = classes.count()
-    shards = max(1, -(-n // SHARD), min(FEW, -(-n // SMALL)))
     kind = dict(classes.dtypes)["rep"]
+    asked = classes if queries is None else queries
+    count = n if queries is None else asked.count()
+    shards, dealt, asked = _routes(classes, asked, space, n, shard, probes)
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         graph = Graph(make(pdf.vec.tolist()), **settings)
         return pd.DataFrame({"shard": [key[0]], "graph": [zlib.compress(pickle.dumps((pdf.rep.to_numpy(), graph), 5), 1)]})
 
-    def label(index: Column, labels: list[int]) -> Column:
-        return F.element_at(F.array(*[F.lit(x) for x in labels]), (index + 1).cast("int"))
-
     spark = classes.sparkSession
     own = spread_labels(spark, shards)
-    dealt = classes.select("rep", "vec", label(F.pmod(F.xxhash64("rep"), F.lit(shards)), own).alias("shard"))
-    graphs = cut(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, graph binary"), "graphs")
-    asked = (classes if queries is None else queries).select("rep", "vec")
-    count = n if queries is None else asked.count()
-    blocks = max(1, -(-count // QUERIES))
+    graphs = cut(dealt.select("rep", "vec", _label(F.col("s"), own).alias("shard")).repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, graph binary"), "graphs")
     # one task for each shard and block of queries
+    each = count * min(1.0, probes / shards)
+    blocks = max(1, -(-int(each) // MOST_QUERIES), min(-(-int(each) // QUERIES), -(-TASKS // shards)))
     tasks = shards * blocks
     both = spread_labels(spark, tasks)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    asked = asked.select("rep", "vec", label(F.col("s") * blocks + F.col("block"), both).alias("task")).repartition(tasks, "task")
+    asked = asked.select("rep", "vec", _label(F.col("s") * blocks + F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)), both).alias("task")).repartition(tasks, "task")
     order = F.array_position(F.array(*[F.lit(x) for x in own]), F.col("shard")) - 1
-    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("graph", label(order * blocks + F.col("block"), both).alias("task")).repartition(tasks, "task")
+    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("graph", _label(order * blocks + F.col("block"), both).alias("task")).repartition(tasks, "task")
 
     def search(key, g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -108,8 +177,9 @@ def class_neighbours(classes: DataFrame, space: str, k: int, queries: DataFrame
         return pd.concat(out) if out else pd.DataFrame({"rep": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
 
     found = graphs.groupBy("task").cogroup(asked.groupBy("task")).applyInPandas(search, f"rep {kind}, other {kind}, sim double")
+    # a row that is in two shards can be found twice
     best = Window.partitionBy("rep").orderBy(F.col("sim").desc(), "other")
-    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
 def nearest(rows: DataFrame, ident: str, vector: str, space: str = "bits", k: int = K, asked: Column | None = None) -> DataFrame:

@@ -7,7 +7,9 @@ import re
 import unicodedata
 
 _TWICE = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]{1,3}")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--.*?-->")
+#: Tags inside a line; all others end a word.
+_INLINE = re.compile(r"</?(?:a|abbr|b|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)\b[^<>\n]{0,200}>", re.IGNORECASE)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--[^<>]{0,2000}-->")
 _HIDDEN = re.compile("[­᠎​-‏⁠﻿‪-‮]")
 _BROKEN = re.compile(r"[-‐‑][ \t]*\r?\n[ \t>|]*")
 _QUOTE = re.compile(r"(?m)^[ \t]*(?:>[ \t]*)+")
@@ -31,7 +33,7 @@ def mend(text: str) -> str:
         text = html.unescape(text)
         text = _HIDDEN.sub("", text)
     if "<" in text:
-        text = _TAG.sub("", text)
+        text = _TAG.sub(" ", _INLINE.sub("", text))
     return text
 
 

@@ -21,6 +21,7 @@ def test_words_in_any_dress():
     assert plain == ["the", "fine", "solution", "measured", "125", "at", "30", "volts", "the", "rest", "moved"]
     for dress in ("THE ﬁne  solution\nmeasured 12.5 at 30 volts the rest moved", "> The <b>fine</b> solu-\n> tion **measured** 12.5 at 30 _volts,_ the rest moved.", "« The fi­ne solu​tion &#109;easured 12.5 at 30 volts — the rest moved »"):
         assert words(dress) == plain
+    assert words("a<br>b <sub>c</sub>d <!-- no -->e") == ["a", "b", "cd", "e"] and words("1 < 2 and 3 > 2") == ["1", "2", "and", "3", "2"]
     assert words("GerÃ¤t é é") == ["gerat", "e", "e"]
     assert words(None) == [] and words("") == [] and words(" .. — ") == []
 

@@ -59,6 +59,27 @@ def test_recall_on_the_tables(spark, data):
     assert len(got & want) / len(want) > 0.95
 
 
+def test_routing_to_many_small_shards(spark):
+    rng = np.random.default_rng(5)
+    rows = list(enumerate(family(rng, 3000)))
+    # a tenth of all rows are variants of one structure, more than a shard holds
+    core = np.unpackbits(np.frombuffer(rows[0][1], "u1"))
+    for i in range(300):
+        x = core.copy()
+        x[rng.integers(0, 1024, 3)] ^= 1
+        rows.append((5000 + i, np.packbits(x).tobytes()))
+    df = frame(spark, rows)
+    classes = N.classes_of(N.usable(df).select("sid", "fp"), "sid", "fp", 6)
+    got = {}
+    for r in N.class_neighbours(classes, "bits", 5, shard=200, probes=4).collect():
+        got.setdefault(r.rep, set()).add(r.other)
+    all_reps = [(r.rep, bytes(r.vec)) for r in classes.collect()]
+    want = exact(all_reps)
+    pairs = {(min(a, b), max(a, b)) for a, bs in got.items() for b in bs}
+    assert len(got) == len(all_reps) and {len(v) for v in got.values()} == {5}
+    assert len(pairs & want) / len(want) > 0.8
+
+
 @pytest.mark.parametrize("kind", ["bits", "dense"])
 def test_graph_recall(kind):
     rng = np.random.default_rng(2)
