@@ -39,23 +39,29 @@ def chance_rr(n: Column, cutoff: int = 25) -> Column:
 def hash_poisson(key: Column, replicate: Column) -> Column:
     """A draw from Poisson(1), by inversion of a hash of (key, replicate): bootstrap weights without a random state."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), replicate.cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
-    out, term, total = F.lit(8), 0.36787944117144233, 0.0
-    steps = []
-    for k in range(8):
-        total += term
-        steps.append((total, k))
-        term /= k + 1
-    for limit, k in reversed(steps):
-        out = F.when(u < limit, k).otherwise(out)
-    return out
+
+    def draw(v: Column) -> Column:
+        out, term, total, limits = F.lit(8), 0.36787944117144233, 0.0, []
+        for k in range(8):
+            total += term
+            limits.append((total, k))
+            term /= k + 1
+        for limit, k in reversed(limits):
+            out = F.when(v < limit, k).otherwise(out)
+        return out
+
+    # the hash is bound once, not computed in each branch
+    return F.get(F.transform(F.array(u), draw), F.lit(0))
 
 
 def bootstrap(df: DataFrame, unit: str, x: str, replicates: int = 200) -> DataFrame:
     """(mean, lo, hi): percentile interval of the mean. Each row gets a weight for each replicate; sums are pre-aggregated."""
-    rows = df.where(F.col(x).isNotNull()).select(F.col(unit).alias("u"), F.col(x).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    per = rows.withColumn("w", hash_poisson(F.col("u"), F.col("b"))).groupBy("b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    mean = df.agg(F.avg(x).alias("mean"))
-    return per.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")).withColumn("one", F.lit(1)).join(mean.withColumn("one", F.lit(1)), "one").select("mean", "lo", "hi")
+    # replicate -1 has all weights 1: the mean itself
+    rows = df.where(F.col(x).isNotNull()).select(F.col(unit).alias("u"), F.col(x).alias("x"), F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))).alias("b"))
+    w = F.when(F.col("b") < 0, 1).otherwise(hash_poisson(F.col("u"), F.col("b")))
+    per = rows.withColumn("w", w).groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
+    drawn = F.when(F.col("b") >= 0, F.col("m"))
+    return per.agg(F.max(F.when(F.col("b") < 0, F.col("m"))).alias("mean"), F.percentile(drawn, 0.025).alias("lo"), F.percentile(drawn, 0.975).alias("hi"))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:

@@ -268,12 +268,12 @@ def _(t):
 @q("k37_rule_combinations", """WITH r AS (SELECT * FROM (VALUES (1, 14.01565), (2, 15.994915), (3, 18.010565), (4, 2.01565), (5, 42.010565)) r(id, d)), c AS (SELECT a.id AS a, b.id AS b, round(a.d::DOUBLE + b.d::DOUBLE, 6) AS d FROM r a JOIN r b ON a.id <= b.id UNION ALL SELECT id, NULL, round(d::DOUBLE, 6) FROM r),
     m AS (SELECT x.sid, y.sid AS other, y.mass - x.mass AS diff FROM train_structs x JOIN train_structs y ON y.mass > x.mass AND y.mass <= x.mass + 90 WHERE x.sid % 10 = 0) SELECT c.a, c.b, count(*) AS n FROM m JOIN c ON m.diff BETWEEN c.d - 0.001 AND c.d + 0.001 GROUP BY c.a, c.b""")
 def _(t):
-    r = t.spark.createDataFrame([(1, 14.01565), (2, 15.994915), (3, 18.010565), (4, 2.01565), (5, 42.010565)], "id int, d double")
-    both = r.select(F.col("id").alias("a"), F.col("d").alias("da")).join(F.broadcast(r.select(F.col("id").alias("b"), F.col("d").alias("db"))), F.col("a") <= F.col("b")).select("a", "b", F.round(F.col("da") + F.col("db"), 6).alias("d"))
-    combos = both.unionByName(r.select(F.col("id").alias("a"), F.lit(None).cast("int").alias("b"), F.round("d", 6).alias("d")))
+    rules = {1: 14.01565, 2: 15.994915, 3: 18.010565, 4: 2.01565, 5: 42.010565}
+    combos = [(a, b, round(rules[a] + rules[b], 6)) for a in rules for b in rules if a <= b] + [(a, None, d) for a, d in rules.items()]
     asked = t.train_structs.where("sid % 10 = 0 and mass is not null").select("sid", F.col("mass").alias("m"))
     # twenty combinations stand at each asked structure, then one range join
-    wanted = asked.withColumn("one", F.lit(1)).join(F.broadcast(combos.withColumn("one", F.lit(1))), "one").select("sid", "a", "b", (F.col("m") + F.col("d") - 0.001).alias("lo"), (F.col("m") + F.col("d") + 0.001).alias("hi"), "m", "d")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).cast("int").alias("b"), F.lit(d).alias("d")) for a, b, d in combos]))
+    wanted = asked.select("sid", "m", each.alias("c")).select("sid", "c.a", "c.b", (F.col("m") + F.col("c.d") - 0.001).alias("lo"), (F.col("m") + F.col("c.d") + 0.001).alias("hi"), "m", "c.d")
     hit = J.range_join(wanted, t.train_structs.select(F.col("sid").alias("other"), "mass"), "lo", "hi", "mass", 0.01)
     return hit.where((F.col("mass") > F.col("m")) & (F.col("mass") - F.col("m")).between(F.col("d") - 0.001, F.col("d") + 0.001)).groupBy("a", "b").agg(F.count("*").alias("n"))
 
