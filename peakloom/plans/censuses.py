@@ -39,7 +39,7 @@ def _(t):
 
 @q("j25_nearest_profile", """WITH c AS (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY label),
     d AS (SELECT e.vec_id, c.label, list_max(list_transform(list_zip(e.embedding, c.v), lambda z: abs(z[1]::DOUBLE - z[2]))) AS d FROM embeddings e, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), label) AS r FROM d)
-    SELECT vec_id, max(label) FILTER (WHERE r = 1) AS label, round(max(d) FILTER (WHERE r = 1), 5) AS d1, round(max(d) FILTER (WHERE r = 2), 5) AS d2 FROM r GROUP BY vec_id""")
+    SELECT vec_id, max(label) FILTER (WHERE r = 1) AS label, round(round(max(d) FILTER (WHERE r = 1), 9), 5) AS d1, round(round(max(d) FILTER (WHERE r = 2), 9), 5) AS d2 FROM r GROUP BY vec_id""")
 def _(t):
     from peakloom.operators.learning import mean_views
 
