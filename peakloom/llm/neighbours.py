@@ -38,7 +38,7 @@ def _dense(blobs) -> Dense:
 
 
 #: How each kind of vector is read, how its graphs are built, and the beam of its searches.
-SPACES = {"bits": (_bits, {}, 48), "dense": (_dense, {"degree": 20, "beam": 40, "passes": 1}, 256)}
+SPACES = {"bits": (_bits, {}, 48), "dense": (_dense, {"degree": 16, "beam": 24, "passes": 1}, 320)}
 
 
 def _exact(space, q: np.ndarray, qn: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def similar_structures(structs: DataFrame, k: int = K) -> DataFrame:
 
 
 #: Numbers in a spectrum's vector and the width of its m/z cells.
-DIMENSIONS, CELL = 96, 0.05
+DIMENSIONS, CELL = 64, 0.05
 
 
 def spectrum_vectors(spectra: DataFrame, ident: str = "rid") -> DataFrame:
