@@ -216,35 +216,125 @@ def similar_structures(structs: DataFrame, k: int = K) -> DataFrame:
     return found.select(F.least("id", "other").alias("sid_a"), F.greatest("id", "other").alias("sid_b")).distinct()
 
 
-#: Numbers in a spectrum's vector and the width of its m/z cells.
-DIMENSIONS, CELL = 64, 0.05
+#: The width of a spectrum's m/z cells, the queries that are compared at once, and the sums that are held at once.
+CELL, ASKED, SUMS = 0.05, 8_192, 2_000_000
 
 
-def spectrum_vectors(spectra: DataFrame, ident: str = "rid") -> DataFrame:
-    """(id, vec): square roots of intensities in m/z cells, each peak shared between two cells, hashed with signs to DIMENSIONS numbers."""
+def spectrum_cells(spectra: DataFrame, ident: str = "rid") -> DataFrame:
+    """(id, cells, weights): square roots of intensities in m/z cells, each peak shared between two cells, with length one."""
 
     def run(batches):
         for b in batches:
-            row, m, a, starts = flat_peaks(b.column(1), b.column(2))
-            v = np.zeros((b.num_rows, DIMENSIONS), "f4")
-            cell = np.floor(m / CELL - 0.5)
-            part = m / CELL - 0.5 - cell
-            for c, w in ((cell, 1 - part), (cell + 1, part)):
-                h = (c.astype("i8").astype("u8") + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                sign = np.where((h >> np.uint64(20)) & np.uint64(1), 1.0, -1.0)
-                np.add.at(v, (row, (h >> np.uint64(40)).astype("i8") % DIMENSIONS), (np.sqrt(a) * w * sign).astype("f4"))
-            size = np.sqrt((v * v).sum(1, keepdims=True))
-            v = np.round(v / np.maximum(size, 1e-12), 4) + np.float32(0)
-            keep = pa.array(np.flatnonzero(size[:, 0] > 0))
-            vec = pa.array([x.tobytes() for x in v.astype("<f4")], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), vec.take(keep)], ["id", "vec"])
+            row, m, a, _ = flat_peaks(b.column(1), b.column(2))
+            low = np.floor(m / CELL - 0.5)
+            part = m / CELL - 0.5 - low
+            rows, cells = np.concatenate([row, row]), np.concatenate([low, low + 1]).astype("i8")
+            w = np.concatenate([np.sqrt(a) * (1 - part), np.sqrt(a) * part])
+            order = np.lexsort((cells, rows))
+            rows, cells, w = rows[order], cells[order], w[order]
+            first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (cells[1:] != cells[:-1])][: len(rows)])
+            rows, cells, w = rows[first], cells[first], np.add.reduceat(w, first) if len(first) else w
+            w = w / np.sqrt(np.bincount(rows, w * w, minlength=b.num_rows))[rows]
+            n = np.bincount(rows, minlength=b.num_rows)
+            keep = n > 0
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n[keep])]).astype("i4"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).filter(pa.array(keep)), pa.ListArray.from_arrays(offsets, pa.array(cells)), pa.ListArray.from_arrays(offsets, pa.array(w.astype("f4")))], ["id", "cells", "weights"]
+            )
 
     rows = spectra.select(F.col(ident).alias("id"), F.col("ms2_mzs").cast("array<double>"), F.col("ms2_normalized_intensities").cast("array<double>"))
-    return rows.where("id is not null and size(ms2_mzs) > 0").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, vec binary")
+    return rows.where("id is not null and size(ms2_mzs) > 0").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, cells array<bigint>, weights array<float>")
+
+
+def spectrum_vectors(spectra: DataFrame, ident: str = "rid") -> DataFrame:
+    """(id, vec): the same as numbers for all cells that occur, for comparisons on small tables."""
+    found = spectrum_cells(spectra, ident)
+    # one row a cell
+    known = np.array(sorted(r[0] for r in found.select(F.explode("cells")).distinct().collect()), "i8")
+
+    def run(batches):
+        for b in batches:
+            v = np.zeros((b.num_rows, len(known)), "<f4")
+            row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            v[row, np.searchsorted(known, b.column(1).flatten().to_numpy())] = b.column(2).flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "vec"])
+
+    return found.mapInArrow(run, f"id {dict(found.dtypes)['id']}, vec binary")
+
+
+def _best(query, ids, sims, k: int) -> np.ndarray:
+    """Places of the k best of each query; ties go to the smaller id."""
+    order = np.lexsort((ids, -sims, query))
+    q = query[order]
+    return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
+def _compared(shared, k: int):
+    """A function of spectra (id, cells, weights) that finds the k nearest to each shared query, among those of its partition."""
+
+    def run(batches):
+        asked, cells, begin, who, weight = shared.value
+        n, kth = len(asked), np.full(len(asked), -1.0)
+        best = np.zeros(0, "i8"), np.zeros(0, asked.dtype), np.zeros(0)
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            size = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            row, cell, w = np.repeat(np.arange(len(ids)), size), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy().astype("f8")
+            at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+            same = cells[at] == cell
+            row, at, w = row[same], at[same], w[same]
+            many = begin[at + 1] - begin[at]
+            starts = np.searchsorted(row, np.arange(len(ids) + 1))
+            work = np.concatenate([[0], np.cumsum(many)])[starts] + np.arange(len(ids) + 1) * n
+            lo = 0
+            while lo < len(ids):
+                hi = max(lo + 1, int(np.searchsorted(work, work[lo] + 2 * SUMS, "right")) - 1)
+                e = slice(starts[lo], starts[hi])
+                c = many[e]
+                # the places of all queries with a peak in the cell of an entry
+                spot = np.arange(c.sum()) + np.repeat(begin[at[e]] - np.cumsum(c) + c, c)
+                sims = np.bincount(np.repeat((row[e] - lo) * n, c) + who[spot], np.repeat(w[e], c) * weight[spot], minlength=(hi - lo) * n).reshape(-1, n)
+                # of those that share no cell with a query only the smallest ids count
+                hit = (sims >= kth) & (sims > 0)
+                few = np.argsort(ids[lo:hi], kind="stable")[: k + 1]
+                hit[few] |= sims[few] >= kth
+                r, q = np.nonzero(hit & (ids[lo:hi, None] != asked))
+                best = tuple(np.concatenate(x) for x in zip(best, (q, ids[lo:hi][r], np.minimum(sims[r, q], 1.0))))
+                top = _best(*best, k)
+                best = tuple(x[top] for x in best)
+                full = np.flatnonzero(np.bincount(best[0], minlength=n) >= k)
+                kth[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+                lo = hi
+        yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(asked[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query", "rid", "other", "sim"])
+
+    return run
 
 
 def similar_spectra(spectra: DataFrame, k: int = K) -> DataFrame:
-    """(rid, other, sim, rank): for every spectrum whose rid is divisible by 100, the k most similar of all spectra."""
-    vectors = cut(spectrum_vectors(spectra), "vectors")
-    return nearest(vectors, "id", "vec", "dense", k, F.col("id") % 100 == 0).withColumnRenamed("id", "rid")
+    """(rid, other, sim, rank): for every spectrum whose rid is divisible by 100, the k most similar of all spectra.
+
+    Exact: blocks of queries, by cell, meet all spectra where these are read. Ties go to the smaller id.
+    """
+    every = spectrum_cells(spectra)
+    kind = dict(every.dtypes)["id"]
+    queries = cut(spectrum_cells(spectra.where("rid % 100 = 0")), "asked")
+    blocks = max(1, -(-queries.count() // ASKED))
+    context = spectra.sparkSession.sparkContext
+    found = None
+    for i in range(blocks):
+        # one block of queries at a time
+        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().combine_chunks().sort_by("id")
+        c, w = block.column("cells").combine_chunks(), block.column("weights").combine_chunks()
+        cell = c.flatten().to_numpy()
+        order = np.argsort(cell, kind="stable")
+        who = np.repeat(np.arange(len(c)), c.value_lengths().to_numpy(zero_copy_only=False))[order]
+        cells, begin = np.unique(cell[order], return_index=True)
+        if not len(cells) and found is not None:
+            continue
+        near = every.limit(0) if not len(cells) else every
+        shared = context.broadcast((block.column("id").to_numpy(), cells, np.append(begin, len(cell)), who, w.flatten().to_numpy()[order].astype("f8")))
+        part = near.mapInArrow(_compared(shared, k), f"query bigint, rid {kind}, other {kind}, sim double")
+        best = Window.partitionBy("query", "rid").orderBy(F.col("sim").desc(), "other")
+        ranked = cut(part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("rid", "other", "sim", "rank"), "nearest")
+        found = ranked if found is None else found.unionByName(ranked)
+    return found
