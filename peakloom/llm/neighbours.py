@@ -20,9 +20,7 @@ K = 5
 FP_BYTES = 128
 #: Distinct vectors of a shard; small inputs are cut into up to FEW shards of at least a few thousand for the sake of parallel work.
 SHARD, FEW, SMALL = 32_768, 6, 4_096
-#: Up to so many shards, a query searches all; beyond, rows are dealt by their nearest pivots and a query searches the shards of its own.
-PROBES = 12
-#: Pivots are the first rows of a hash order, PIVOTS a shard, MOST_PIVOTS at most; a row is indexed with its COPIES nearest ones.
+#: Where a query isn't to search all shards: pivots are the first rows of a hash order, PIVOTS a shard, MOST_PIVOTS at most; a row is indexed with its COPIES nearest ones.
 PIVOTS, MOST_PIVOTS, COPIES = 8, 4_096, 2
 #: Queries of one search task: at least the first number, at most the second; in between, as few as make TASKS tasks.
 QUERIES, MOST_QUERIES, TASKS = 16_384, 262_144, 64
@@ -83,15 +81,15 @@ def _top_pivots(space: str, pivots: list[bytes], most: int):
     return run
 
 
-def _routes(classes: DataFrame, asked: DataFrame, space: str, n: int, shard: int, probes: int) -> tuple[int, DataFrame, DataFrame]:
+def _routes(classes: DataFrame, asked: DataFrame, space: str, n: int, shard: int, probes: int | None) -> tuple[int, DataFrame, DataFrame]:
     """(shards, index rows, queries), both as (rep, vec, s).
 
-    Few shards: rows are dealt by a hash and every query goes to all. Many: rows go to the shards of their nearest pivots,
-    queries to the shards of theirs. A pivot with more than a shard of rows has several shards, dealt by a hash, and all of
+    Without ``probes`` rows are dealt by a hash and every query goes to all shards, however many. With fewer probes than
+    shards, rows go to the shards of their nearest pivots, queries to the shards of theirs. A pivot with more than a shard of rows has several shards, dealt by a hash, and all of
     them are searched; so equal or similar rows in any number don't overfill one.
     """
     shards = max(1, -(-n // shard), min(FEW, -(-n // SMALL)))
-    if shards <= probes:
+    if probes is None or shards <= probes:
         dealt = classes.select("rep", "vec", F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("s"))
         return shards, dealt, asked.select("rep", "vec", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
     kind = dict(classes.dtypes)["rep"]
@@ -126,11 +124,11 @@ def _routes(classes: DataFrame, asked: DataFrame, space: str, n: int, shard: int
     return len(room), dealt, asked.select("rep", "vec", F.explode(goal).alias("s"))
 
 
-def class_neighbours(classes: DataFrame, space: str, k: int, queries: DataFrame | None = None, shard: int = SHARD, probes: int = PROBES) -> DataFrame:
+def class_neighbours(classes: DataFrame, space: str, k: int, queries: DataFrame | None = None, shard: int = SHARD, probes: int | None = None) -> DataFrame:
     """(rep, other, sim): for each class (or each of ``queries``, which has rep and vec) its k most similar other classes.
 
     Each shard builds its graph once and keeps it as one row of a table; each block of queries searches in the shards it is
-    sent to, one task for each. Ties go to the smaller id.
+    sent to, one task for each: all shards, unless ``probes`` limits them at some loss of recall. Ties go to the smaller id.
     """
     make, settings, beam = SPACES[space]
     n = classes.count()
@@ -148,7 +146,7 @@ def class_neighbours(classes: DataFrame, space: str, k: int, queries: DataFrame
     own = spread_labels(spark, shards)
     graphs = cut(dealt.select("rep", "vec", _label(F.col("s"), own).alias("shard")).repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, graph binary"), "graphs")
     # one task for each shard and block of queries
-    each = count * min(1.0, probes / shards)
+    each = count * min(1.0, (probes or shards) / shards)
     blocks = max(1, -(-int(each) // MOST_QUERIES), min(-(-int(each) // QUERIES), -(-TASKS // shards)))
     tasks = shards * blocks
     both = spread_labels(spark, tasks)

@@ -4,6 +4,7 @@ import numpy as np
 
 from peakloom.llm import neighbours as N
 from peakloom.session import table
+from test_vectors import exact, family, frame
 
 
 def peaks(mzs, intensities):
@@ -40,3 +41,13 @@ def test_spectra_equal_brute_force(spark, data, monkeypatch):
         for rid, rank, other, sim in rows:
             assert abs(sims[at[rid], place[other]] - sim) < 1e-5
             assert abs(-np.sort(-sims[at[rid]])[rank - 1] - sim) < 1e-5
+
+
+def test_queries_search_all_shards_at_every_size(spark):
+    df = frame(spark, list(enumerate(family(np.random.default_rng(5), 2500))))
+    classes = N.classes_of(N.usable(df).select("sid", "fp"), "sid", "fp", 6)
+    # more than twenty shards
+    found = N.class_neighbours(classes, "bits", 5, shard=100).collect()
+    pairs = {(min(r.rep, r.other), max(r.rep, r.other)) for r in found}
+    want = exact([(r.rep, bytes(r.vec)) for r in classes.collect()])
+    assert len(pairs & want) / len(want) > 0.99
