@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -163,34 +162,90 @@ def graph_mass(g) -> float:
     return sum(MASS[e] for e in elements) + MASS["H"] * sum(hydrogens)
 
 
-def fragment_masses(weights: list[float], bonds: list[tuple[int, int, int]], cuts: int = 2, most: int = 60) -> np.ndarray:
+def fragment_masses(weights: list[float], bonds: list[tuple[int, int, int]], cuts: int = 2) -> np.ndarray:
     """Masses of the connected parts after cutting one or two bonds, rounded to 0.001, each once, in order.
 
-    Graphs with more than ``most`` bonds are cut at single bonds only. Each cut labels components by union and find.
+    On a spanning tree each bond has the set of rings (other bonds) that pass it: one cut makes parts at a bond without
+    rings, two cuts at two such bonds or at two with the same rings. Masses are sums and differences of branches.
     """
-    n, out = len(weights), {round(sum(weights), 3)}
-    ends = [(a, b) for a, b, _ in bonds]
-    limit = cuts if len(ends) <= most else 1
-    for size in range(1, limit + 1):
-        for gone in combinations(range(len(ends)), size):
-            root = list(range(n))
-
-            def find(x, root=root):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for k, (a, b) in enumerate(ends):
-                if k not in gone:
-                    root[find(a)] = find(b)
-            parts: dict[int, float] = {}
-            for x in range(n):
-                r = find(x)
-                parts[r] = parts.get(r, 0.0) + weights[x]
-            if len(parts) > 1:
-                out.update(round(v, 3) for v in parts.values())
-    return np.array(sorted(out))
+    if cuts not in (1, 2):
+        raise ValueError("one or two cuts")
+    n, ends = len(weights), [(a, b) for a, b, _ in bonds]
+    around: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for k, (a, b) in enumerate(ends):
+        around[a].append((b, k))
+        around[b].append((a, k))
+    up, root, order, tree = [-1] * n, [-1] * n, [], set()
+    for start in range(n):
+        if root[start] >= 0:
+            continue
+        root[start] = start
+        order.append(start)
+        at = len(order) - 1
+        while at < len(order):
+            v = order[at]
+            for x, k in around[v]:
+                if root[x] < 0:
+                    root[x], up[x] = start, v
+                    order.append(x)
+                    tree.add(k)
+            at += 1
+    branch, size, rings = list(weights), [1] * n, [0] * n
+    closing = [k for k in range(len(ends)) if k not in tree]
+    for bit, k in enumerate(closing):
+        for x in ends[k]:
+            rings[x] ^= 1 << bit
+    for v in reversed(order):
+        if up[v] >= 0:
+            branch[up[v]] += branch[v]
+            size[up[v]] += size[v]
+            rings[up[v]] ^= rings[v]
+    # branches as ranges of a preorder
+    first, free = [0] * n, [0] * n
+    for v in order:
+        if up[v] >= 0:
+            first[v] = free[up[v]]
+            free[up[v]] += size[v]
+        free[v] = first[v] + 1
+    groups: dict[tuple[int, int], list[int]] = {}
+    for v in order:
+        if up[v] >= 0:
+            groups.setdefault((root[v], rings[v]), []).append(v)
+    out = [np.array([sum(weights)])]
+    roots = [v for v in order if up[v] < 0]
+    if len(roots) > 1:
+        # a separate part stays whole when the cut is elsewhere or only opens a ring
+        inside = {r: 0 for r in roots}
+        for a, _ in ends:
+            inside[root[a]] += 1
+        ringed = {root[ends[k][0]] for k in closing}
+        out.append(np.array([branch[r] for r in roots if len(ends) > inside[r] or r in ringed]))
+    for (r, ring), vs in groups.items():
+        whole, b = branch[r], np.array([branch[v] for v in vs])
+        if not ring or cuts == 2 and ring.bit_count() == 1:
+            out += [b, whole - b]
+        if cuts == 2 and len(vs) > 1:
+            f, z = np.array([first[v] for v in vs]), np.array([size[v] for v in vs])
+            i, j = np.triu_indices(len(vs), 1)
+            i, j = np.where(z[i] >= z[j], i, j), np.where(z[i] >= z[j], j, i)
+            within = (f[j] >= f[i]) & (f[j] < f[i] + z[i])
+            between = np.where(within, b[i] - b[j], whole - b[i] - b[j])
+            out += [between, whole - between] if ring else [between]
+    return np.unique(np.round(np.concatenate(out), 3))
+
+
+def ion_offsets(adduct: str | None) -> list[float]:
+    """What a neutral fragment gains as an ion: the proton, and what else the adduct names that can carry the charge."""
+    text = adduct or ""
+    known = parse_adduct(text)
+    if (known[3] if known else -1 if text.endswith("-") else 1) > 0:
+        return [MASS["H"] - ELECTRON, *[m - ELECTRON for e, m in (("Na", MASS["Na"]), ("K", MASS["K"]), ("NH4", MASS["N"] + 4 * MASS["H"])) if e in text]]
+    out = [ELECTRON - MASS["H"]]
+    if "Cl" in text:
+        out.append(MASS["Cl"] + ELECTRON)
+    if "CH2O2" in text or "HCOO" in text:
+        out.append(MASS["C"] + MASS["H"] + 2 * MASS["O"] + ELECTRON)
+    return out
 
 
 def explained(masses: np.ndarray, mz: np.ndarray, ion: float, shifts: int = 1, da: float = 0.01, ppm: float = 0.0) -> np.ndarray:
@@ -256,7 +311,7 @@ def structure_facts(df: DataFrame, ident: str, smiles: str) -> DataFrame:
                     rows.append((i, None, None, None, None))
                     continue
                 w = [MASS[e] + h * MASS["H"] for e, h in zip(g[0], g[1])]
-                rows.append((i, len(g[0]), round(graph_mass(g), 6), len(fragment_masses(w, g[2], 1)), degree_signature(g)))
+                rows.append((i, len(g[0]), round(graph_mass(g), 6), len(fragment_masses(w, g[2])), degree_signature(g)))
             yield pd.DataFrame(rows, columns=["id", "n_heavy", "graph_mass", "n_fragments", "signature"]).astype({"n_heavy": "Int32", "graph_mass": "Float64", "n_fragments": "Int32"})
 
     rows = df.select(F.col(ident).alias("id"), F.col(smiles).alias("smiles"))

@@ -238,19 +238,19 @@ def _(t):
         @functools.lru_cache(maxsize=20_000)
         def masses(smiles):
             g = C.parse_smiles(smiles)
-            return None if g is None else C.fragment_masses([C.MASS[e] + h * C.MASS["H"] for e, h in zip(g[0], g[1])], g[2], 1)
+            return None if g is None else C.fragment_masses([C.MASS[e] + h * C.MASS["H"] for e, h in zip(g[0], g[1])], g[2])
 
         for pdf in batches:
             out = []
-            for rid, smiles, mz, it in zip(pdf.rid, pdf.smiles, pdf.ms2_mzs, pdf.ms2_normalized_intensities):
+            for rid, smiles, adduct, mz, it in zip(pdf.rid, pdf.smiles, pdf.adduct, pdf.ms2_mzs, pdf.ms2_normalized_intensities):
                 if mz is None or not len(mz) or len(mz) != len(it) or masses(smiles) is None:
                     continue
-                ok = C.explained(masses(smiles), np.asarray(mz), 1.00727646688, 2)
+                ok = np.any([C.explained(masses(smiles), np.asarray(mz), ion, 2) for ion in C.ion_offsets(adduct)], axis=0)
                 v = np.sqrt(np.maximum(it, 0))
                 out.append((rid, float(ok.mean()), float((v * ok).sum() / v.sum()) if v.sum() else 0.0))
             yield pd.DataFrame(out, columns=["rid", "count_share", "intensity_share"])
 
-    s = t.train_spectra.select("rid", "normalized_smiles", "ms2_mzs", "ms2_normalized_intensities").withColumnRenamed("normalized_smiles", "smiles").where("smiles is not null")
+    s = t.train_spectra.select("rid", "normalized_smiles", "adduct", "ms2_mzs", "ms2_normalized_intensities").withColumnRenamed("normalized_smiles", "smiles").where("smiles is not null")
     return s.mapInPandas(run, "rid bigint, count_share double, intensity_share double").select("rid", F.round("count_share", 5).alias("count_share"), F.round("intensity_share", 5).alias("intensity_share"))
 
 
