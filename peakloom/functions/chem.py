@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -289,6 +290,45 @@ def subformulas(formula: dict[str, int], mass: float, tol: float, most: int = 2_
     return out
 
 
+def subformula_search(formula: dict[str, int], block: int = 2_000_000):
+    """A function of masses and a tolerance: which of them some sub-formula has, as ``subformulas`` has it, but the empty one.
+
+    Masses of carbon, nitrogen and hydrogen are sorted, those of the rest are taken off each mass. Formulas of any size are
+    tested in blocks; one that fits in a block is enumerated once.
+    """
+    c, n, h = (formula.get(e, 0) for e in "CNH")
+    rest = [e for e in formula if e not in ("C", "N", "H")]
+    shape = [formula[e] + 1 for e in rest]
+    total, step = math.prod(shape), max(1, block // (h + 1))
+
+    def cores():
+        for lo in range(0, (c + 1) * (n + 1), step):
+            k = np.arange(lo, min(lo + step, (c + 1) * (n + 1)))[:, None]
+            i, j, x = k // (n + 1), k % (n + 1), np.arange(h + 1)
+            yield np.sort((i * MASS["C"] + j * MASS["N"] + x * MASS["H"])[x <= 2 * i + j + 3])
+
+    def others(most):
+        for lo in range(0, total, most):
+            k, m = np.arange(lo, min(lo + most, total)), 0.0
+            for e, size in zip(rest, shape):
+                m, k = m + k % size * MASS[e], k // size
+            yield m + np.zeros(len(k))
+
+    small = (c + 1) * (n + 1) <= step and total <= block // 100
+    kept = ([*cores()], [*others(block)]) if small else None
+
+    def run(masses: np.ndarray, tol: float) -> np.ndarray:
+        ok = np.zeros(len(masses), bool)
+        for core in kept[0] if kept else cores():
+            for other in kept[1] if kept else others(max(1, block // max(1, len(masses)))):
+                low = masses[:, None] - other - tol
+                at = np.searchsorted(core, low)
+                ok |= ((at < len(core)) & (core[np.minimum(at, len(core) - 1)] <= low + 2 * tol)).any(1)
+        return ok & (masses > tol)
+
+    return run
+
+
 def degree_signature(g) -> list[str]:
     """Elements with their degree, sorted: the same for all ways of drawing double bonds."""
     elements, _, bonds = g

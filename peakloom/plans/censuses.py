@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -66,21 +67,20 @@ def _(t):
         import functools
 
         @functools.lru_cache(maxsize=4096)
-        def explains(formula, mass):
-            try:
-                return bool(C.subformulas(C.parse_formula(formula), mass, 0.005))
-            except ValueError:
-                return False
+        def search(formula):
+            counts = C.parse_formula(formula or "")
+            return counts and C.subformula_search(counts)
 
         for pdf in batches:
             out = []
-            for rid, formula, mz in zip(pdf.rid, pdf.molecular_formula, pdf.top):
-                if C.parse_formula(formula or "") and mz is not None and len(mz):
-                    out.append((rid, sum(explains(formula, round(float(m) - 1.00727646688, 3)) for m in mz) / len(mz)))
+            for rid, formula, adduct, mz in zip(pdf.rid, pdf.molecular_formula, pdf.adduct, pdf.mz):
+                if search(formula) and mz is not None and len(mz):
+                    ok = np.any([search(formula)(np.asarray(mz, "f8") - ion, 0.005) for ion in C.ion_offsets(adduct)], axis=0)
+                    out.append((rid, float(ok.mean())))
             yield pd.DataFrame(out, columns=["rid", "share"])
 
-    s = S.clean_peaks(t.train_spectra.where("rid % 100 = 0").select("rid", "molecular_formula", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities"), top=5)
-    return s.select("rid", "molecular_formula", F.transform("peaks", lambda p: p["mz"]).alias("top")).mapInPandas(run, "rid bigint, share double").select("rid", F.round("share", 5).alias("share"))
+    s = t.train_spectra.select("rid", "molecular_formula", "adduct", F.transform(S.peaks_of(), lambda p: p["mz"]).alias("mz"))
+    return s.mapInPandas(run, "rid bigint, share double").select("rid", F.round("share", 5).alias("share"))
 
 
 @q("k31_own_references", """WITH s AS (SELECT r.rid, r.inchikey14 AS k, unnest(r.ms2_mzs) AS mz FROM train_spectra r WHERE r.inchikey14 IS NOT NULL), c AS (SELECT k, CAST(floor(mz / 0.05) AS BIGINT) AS cell, count(DISTINCT rid) AS spectra FROM s GROUP BY ALL)

@@ -4,9 +4,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peakloom.functions import chem as C
-from peakloom.plans import kernels
+from peakloom.plans import censuses, kernels
 
 
 def parts(weights, bonds, cuts):
@@ -60,3 +61,23 @@ def test_explanation_opens_rings_and_knows_adducts(spark, tmp_path):
     got = {r.rid: r.count_share for r in kernels.queries()["k28_peak_explanation"](spark, str(tmp_path)).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 0.0, 4: 1.0}
     assert kernels.queries()["k27_structure_facts"](spark, str(tmp_path)).first().n_fragments == 6
+
+
+@pytest.mark.parametrize("formula", ["C6H12O6", "C5H9NO2S", "C10H15N2O6PCl2", "H4Si", "C3"])
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_subformula_search_equals_enumeration(formula, block):
+    counts = C.parse_formula(formula)
+    rng = np.random.default_rng(1)
+    masses = np.concatenate([rng.uniform(0.5, 200, 60), [12.0, 15.0235, 18.0106, 30.0106, 2.0157, 0.0, 0.001]])
+    want = [m > 0.005 and bool(C.subformulas(counts, float(m), 0.005)) for m in masses]
+    assert C.subformula_search(counts, block)(masses, 0.005).tolist() == want and any(want)
+
+
+def test_shares_of_all_peaks_and_large_formulas(spark, tmp_path):
+    large = "C60H100N20O40P9S9Cl9Br9"  # more than two million combinations
+    water, proton = 2 * C.MASS["H"] + C.MASS["O"], C.MASS["H"] - C.ELECTRON
+    six = [20.1 + k / 7 for k in range(6)]  # stronger than the one that counts
+    rows = [(1, "CH4O", "[M+H]+", [*six, water + proton], [9.0] * 6 + [1.0]), (100, large, "[M+H]+", [water + proton, 19.5], [1.0, 1.0]), (101, "CH4O", "[M-H]-", [water - proton, water + proton + 0.5], [1.0, 1.0])]
+    spark.createDataFrame(rows, "rid bigint, molecular_formula string, adduct string, ms2_mzs array<double>, ms2_normalized_intensities array<double>").withColumn("precursor_mz", F.lit(900.0)).write.parquet(f"{tmp_path}/train_spectra.parquet")
+    got = {r.rid: r.share for r in censuses.queries()["k30_subformula_shares"](spark, str(tmp_path)).collect()}
+    assert got == {1: pytest.approx(1 / 7, abs=1e-5), 100: 0.5, 101: 0.5}
