@@ -203,10 +203,10 @@ def matches(train: DataFrame, test: DataFrame, train_id: str = "rid", test_id: s
     some = cut(train.mapInArrow(probe, f"{_spectra_schema(r_type)}, need int, keys array<bigint>, at array<double>"), "probes")
     # equal spectra are compared once
     test_one, train_one = tests.drop("id").dropDuplicates(["sig"]), some.drop("id").dropDuplicates(["sig"])
-    seeds = train_one.select(F.col("sig").alias("r_sig"), "need", F.col("prec").alias("r_prec"), F.explode(F.arrays_zip("keys", "at")).alias("x")).select("r_sig", "need", "r_prec", F.col("x.keys").alias("key"), F.col("x.at").alias("r_mz"))
+    seeds = train_one.select(F.col("sig").alias("r_sig"), "need", F.col("prec").alias("r_prec"), F.posexplode(F.arrays_zip("keys", "at")).alias("place", "x")).select("r_sig", "need", "r_prec", "place", F.col("x.keys").alias("key"), F.col("x.at").alias("r_mz"))
     segments = test_one.select("sig", "prec", "mz", "it").mapInArrow(places, "t_sig binary, key bigint, t_prec double, t_mz double")
     near = (F.abs(F.col("r_prec") - F.col("t_prec")) <= tol + EPS) & (F.abs(F.col("r_mz") - F.col("t_mz")) <= tol + EPS)
-    pairs = seeds.join(segments, "key").where(near).groupBy("r_sig", "t_sig").agg(F.count_distinct("r_mz").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("r_sig", "t_sig")
+    pairs = seeds.join(segments, "key").where(near).groupBy("r_sig", "t_sig").agg(F.count_distinct("place").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("r_sig", "t_sig")
 
     def verify(batches):
         for b in batches:

@@ -46,7 +46,7 @@ def _(t):
 
     centres = mean_views(t.embeddings.select("label", F.transform("embedding", lambda v: v.cast("double")).alias("v")), "label", "v")
     # all centres stand in one row, so each vector meets each once without a cross join; there are as many as labels
-    table = [(r.label, r.v) for r in centres.limit(1000).collect()]
+    table = [(r.label, r.v) for r in centres.collect()]
     shelf = F.array(*[F.struct(F.lit(n).alias("label"), F.array(*[F.lit(float(x)) for x in v]).alias("c")) for n, v in sorted(table)])
     far = F.transform(shelf, lambda s: F.struct(F.round(F.array_max(F.zip_with("embedding", s["c"], lambda x, y: F.abs(x.cast("double") - y))), 9).alias("d"), s["label"].alias("label")))
     near = t.embeddings.select("vec_id", F.array_sort(far).alias("n"))

@@ -3,7 +3,10 @@
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from oracle import connect, same
 from pyspark.sql import functions as F
 
 from peakloom.functions import chem as C
@@ -81,3 +84,10 @@ def test_shares_of_all_peaks_and_large_formulas(spark, tmp_path):
     spark.createDataFrame(rows, "rid bigint, molecular_formula string, adduct string, ms2_mzs array<double>, ms2_normalized_intensities array<double>").withColumn("precursor_mz", F.lit(900.0)).write.parquet(f"{tmp_path}/train_spectra.parquet")
     got = {r.rid: r.share for r in censuses.queries()["k30_subformula_shares"](spark, str(tmp_path)).collect()}
     assert got == {1: pytest.approx(1 / 7, abs=1e-5), 100: 0.5, 101: 0.5}
+
+
+def test_nearest_profile_knows_all_labels(spark, tmp_path):
+    n = 1100
+    pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "label": pa.array(range(n), pa.int32()), "embedding": pa.array([[float(k), 1.0] for k in range(n)], pa.list_(pa.float32()))}), f"{tmp_path}/embeddings.parquet")
+    df = censuses.queries()["j25_nearest_profile"](spark, str(tmp_path))
+    same(df, connect(str(tmp_path)).sql(censuses.oracle_sql()["j25_nearest_profile"]))
