@@ -32,7 +32,7 @@ def _(t):
 def _(t):
     # each record against its molecule's richest spectrum: linear in the records, where all pairs of a hot molecule aren't
     s = t.train_spectra.where("inchikey14 is not null and size(ms2_mzs) > 0").select("rid", "inchikey14", "num_peaks", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities")
-    s = S.clean_peaks(s, top=60).where(F.size("peaks") > 0).select("rid", "inchikey14", "num_peaks", F.transform("peaks", lambda p: p["mz"]).alias("m"), F.transform("peaks", lambda p: p["it"]).alias("v"))
+    s = S.clean_peaks(s).where(F.size("peaks") > 0).select("rid", "inchikey14", "num_peaks", F.transform("peaks", lambda p: p["mz"]).alias("m"), F.transform("peaks", lambda p: p["it"]).alias("v"))
     rep = R.first_by(s, ["inchikey14"], [F.desc("num_peaks"), F.col("rid")]).select("inchikey14", F.col("rid").alias("rep"), F.col("m").alias("ma"), F.col("v").alias("wa"))
     pairs = s.join(rep, "inchikey14").where("rid <> rep").select("rid", "rep", "ma", "wa", F.col("m").alias("mb"), F.col("v").alias("wb"))
     return S.score_pairs(pairs, "cosine").select("rid", "rep", F.round("score", 6).alias("score"))

@@ -61,9 +61,9 @@ BINS = f"""s AS (SELECT rid, precursor_mz, mz, sqrt(it) AS v FROM (SELECT *, row
     n AS (SELECT rid, bin, v / sqrt(sum(v * v) OVER (PARTITION BY rid)) AS w FROM f)"""
 
 
-def features(t):
+def features(t, width=0.5, top=60):
     s = t.train_spectra.select("rid", F.nanvl("precursor_mz", F.lit(None).cast("double")).alias("precursor_mz"), "ms2_mzs", "ms2_normalized_intensities")
-    return S.bin_features(s, "rid", "precursor_mz", 0.5, 60)
+    return S.bin_features(s, "rid", "precursor_mz", width, top)
 
 
 @q("k14_bin_features", f"WITH {BINS} SELECT rid, count(*) AS n, round(sum(w), 5) AS total, min(bin) AS lo, max(bin) AS hi FROM n GROUP BY rid")
@@ -71,8 +71,8 @@ def _(t):
     return features(t).groupBy("rid").agg(F.count("*").alias("n"), F.round(F.sum("w"), 5).alias("total"), F.min("bin").alias("lo"), F.max("bin").alias("hi"))
 
 
-def knn(t, mask=None):
-    f = features(t)
+def knn(t, mask=None, width=0.5, top=60):
+    f = features(t, width, top)
     mode = t.train_spectra.select("rid", "ionization_mode")
     f = f.join(mode, "rid")
     return S.nearest_by_bins(f.where("rid % 100 = 0").withColumnRenamed("rid", "qid"), f, "qid", "rid", 5, "ionization_mode", mask)
@@ -96,7 +96,7 @@ def _(t):
 
 def mass_pairs(t):
     """Each asked spectrum (rid divisible by 100) with all spectra of its adduct and precursor, both cleaned."""
-    s = S.clean_peaks(t.train_spectra.where("precursor_mz > 0 and not isnan(precursor_mz)").select("rid", "adduct", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities"), top=60)
+    s = S.clean_peaks(t.train_spectra.where("precursor_mz > 0 and not isnan(precursor_mz)").select("rid", "adduct", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities"))
     s = S.entropy_weights(s.where(F.size("peaks") > 0)).select("rid", "adduct", "precursor_mz", F.transform("peaks", lambda p: p["mz"]).alias("m"), F.transform("peaks", lambda p: p["it"]).alias("v"), "weights")
     asked = s.where("rid % 100 = 0").select(F.col("rid").alias("qid"), "adduct", F.col("precursor_mz").alias("pa"), F.col("m").alias("ma"), F.col("v").alias("va"), F.col("weights").alias("ea"))
     refs = s.select("rid", "adduct", F.col("precursor_mz").alias("pb"), F.col("m").alias("mb"), F.col("v").alias("vb"), F.col("weights").alias("eb"))
@@ -126,7 +126,7 @@ def _(t):
 @q("k7_shifted_similarity")
 def _(t):
     # analogues: structures one oxygen lighter, asked for by their records
-    s = S.entropy_weights(S.clean_peaks(t.train_spectra.where("precursor_mz > 0 and not isnan(precursor_mz)").select("rid", "adduct", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities"), top=60).where(F.size("peaks") > 0))
+    s = S.entropy_weights(S.clean_peaks(t.train_spectra.where("precursor_mz > 0 and not isnan(precursor_mz)").select("rid", "adduct", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities")).where(F.size("peaks") > 0))
     s = s.select("rid", "adduct", "precursor_mz", F.transform("peaks", lambda p: p["mz"]).alias("m"), "weights")
     a = s.where("rid % 100 = 0").select(F.col("rid").alias("qid"), "adduct", F.col("precursor_mz").alias("pa"), F.col("m").alias("ma"), F.col("weights").alias("wa"), (F.col("precursor_mz") - 15.99491 - 0.01).alias("lo"), (F.col("precursor_mz") - 15.99491 + 0.01).alias("hi"))
     b = s.select("rid", "adduct", F.col("precursor_mz").alias("pb"), F.col("m").alias("mb"), F.col("weights").alias("wb"))
@@ -143,7 +143,7 @@ def _(t):
 @q("k16_votes")
 def _(t):
     fp = t.train_structs.select("inchikey14", P.words("fp").alias("w")).where("w is not null")
-    near = knn(t).join(t.train_spectra.select("rid", "inchikey14"), "rid").join(fp, "inchikey14").withColumn("b", P.bits("w"))
+    near = knn(t, width=0.1, top=150).join(t.train_spectra.select("rid", "inchikey14"), "rid").join(fp, "inchikey14").withColumn("b", P.bits("w"))
     return P.vote(near, "qid", "sim", "b").groupBy("qid").agg(F.round(F.sum("p"), 5).alias("expected_bits"), F.count_if(F.col("p") > 0.5).alias("likely_bits"))
 
 

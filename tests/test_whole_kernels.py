@@ -91,3 +91,20 @@ def test_nearest_profile_knows_all_labels(spark, tmp_path):
     pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "label": pa.array(range(n), pa.int32()), "embedding": pa.array([[float(k), 1.0] for k in range(n)], pa.list_(pa.float32()))}), f"{tmp_path}/embeddings.parquet")
     df = censuses.queries()["j25_nearest_profile"](spark, str(tmp_path))
     same(df, connect(str(tmp_path)).sql(censuses.oracle_sql()["j25_nearest_profile"]))
+
+
+def test_peaks_beyond_the_sixty_strongest_count(spark, tmp_path):
+    common = [100.0 + 3 * k for k in range(60)]
+    own = lambda d: [400.0 + d + 3 * k for k in range(40)]
+    rows = [(100, "A", 900.0, common + own(0.0)), (101, "B", 900.0, common + own(1.0)), (102, "A", 900.0 - 15.99491, common + own(0.0)), (103, "C", 900.0 - 15.99491, common + own(1.0)), (104, "A", 900.0, common + own(1.0))]
+    it = [1.0] * 60 + [0.5] * 40
+    spark.createDataFrame([(*r, it, "[M+H]+", "positive", 300 - r[0]) for r in rows], "rid bigint, inchikey14 string, precursor_mz double, ms2_mzs array<double>, ms2_normalized_intensities array<double>, adduct string, ionization_mode string, num_peaks int").write.parquet(f"{tmp_path}/train_spectra.parquet")
+    spark.createDataFrame([("A", bytearray([255] + [0] * 127)), ("B", bytearray([128] + [0] * 127)), ("C", bytearray([128] + [0] * 127))], "inchikey14 string, fp binary").write.parquet(f"{tmp_path}/train_structs.parquet")
+    run = lambda name, mod=kernels: mod.queries()[name](spark, str(tmp_path)).collect()
+    for name in ("k5_entropy_similarity", "k6_cosine", "k9_modified_cosine"):
+        assert {r.rid: r.score < 0.99 for r in run(name) if r.qid == 100 and r.rid in (101, 104)} == {101: True, 104: True}, name
+    assert {r.rid: r.score < 0.99 for r in run("k7_shifted_similarity")} == {102: False, 103: True}
+    assert {r.rid: r.score < 0.99 for r in run("j14_with_representative", censuses)} == {102: False, 104: True}
+    # the record with other weak peaks has less of a vote
+    votes = {r.qid: r.expected_bits for r in run("k16_votes")}
+    assert votes[100] > 5.5
