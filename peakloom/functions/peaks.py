@@ -11,8 +11,8 @@ import pyarrow as pa
 EPS = 1e-9
 
 
-def flat_peaks(mz: pa.Array, it: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, m/z, share of the row's sum, row starts) of two list columns.
+def flat_peaks(mz: pa.Array, it: pa.Array, shares: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, m/z, share of the row's sum or else intensity, row starts) of two list columns.
 
     Peaks come sorted by row and m/z. Peaks with a null, NaN or infinite value or without a positive intensity are left out;
     a row whose lists are null or of different lengths has none.
@@ -31,8 +31,8 @@ def flat_peaks(mz: pa.Array, it: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
     m, a, row = m[ok], a[ok], row[ok]
     order = np.lexsort((m, row))
     m, a, row = m[order], a[order], row[order]
-    total = np.bincount(row, a, minlength=n)
-    a = a / total[row]
+    if shares:
+        a = a / np.bincount(row, a, minlength=n)[row]
     starts = np.searchsorted(row, np.arange(n + 1))
     return row, m, a, starts
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from peakloom.functions import chem as C
 from peakloom.functions import spectra as S
+from peakloom.operators import blocks as B
 from peakloom.operators import evaluation as V
 from peakloom.operators import ranking as R
+from peakloom.operators.skew import hot_keys, salted_join
 from peakloom.plans.kernels import BINS, SIMS, features, knn
 from peakloom.plans.lists import CTE, cands, la, truth
 from peakloom.plans.registry import Registry
@@ -31,10 +33,11 @@ def _(t):
 @q("j14_with_representative")
 def _(t):
     # each record against its molecule's richest spectrum: linear in the records, where all pairs of a hot molecule aren't
-    s = t.train_spectra.where("inchikey14 is not null and size(ms2_mzs) > 0").select("rid", "inchikey14", "num_peaks", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities")
-    s = S.clean_peaks(s).where(F.size("peaks") > 0).select("rid", "inchikey14", "num_peaks", F.transform("peaks", lambda p: p["mz"]).alias("m"), F.transform("peaks", lambda p: p["it"]).alias("v"))
+    s = B.clean_lists(t.train_spectra.where("inchikey14 is not null"), "rid", "ms2_mzs", "ms2_normalized_intensities", "precursor_mz", ("inchikey14", "num_peaks"), sound=False)
+    s = s.select(F.col("id").alias("rid"), "inchikey14", "num_peaks", F.col("mz").alias("m"), F.col("it").alias("v"))
     rep = R.first_by(s, ["inchikey14"], [F.desc("num_peaks"), F.col("rid")]).select("inchikey14", F.col("rid").alias("rep"), F.col("m").alias("ma"), F.col("v").alias("wa"))
-    pairs = s.join(rep, "inchikey14").where("rid <> rep").select("rid", "rep", "ma", "wa", F.col("m").alias("mb"), F.col("v").alias("wb"))
+    hot = hot_keys(t.train_spectra.where("inchikey14 is not null").groupBy("inchikey14").agg(F.count("*").alias("n")), "inchikey14")
+    pairs = salted_join(s, rep, "inchikey14", hot, "rid", "inner").where("rid <> rep").select("rid", "rep", "ma", "wa", F.col("m").alias("mb"), F.col("v").alias("wb"))
     return S.score_pairs(pairs, "cosine").select("rid", "rep", F.round("score", 6).alias("score"))
 
 
@@ -56,9 +59,10 @@ def _(t):
 @q("k15_binned_cosine", f"WITH {BINS}, sc AS (SELECT a.rid, sum(a.w * b.w) AS c FROM n a JOIN n b ON a.bin = b.bin AND b.rid = (SELECT min(rid) FROM n) GROUP BY a.rid) SELECT rid, round(c, 5) AS sim FROM sc")
 def _(t):
     f = features(t)
-    least = f.agg(F.min("rid").alias("rid"))
-    one = f.join(F.broadcast(least), "rid").select("bin", F.col("w").alias("v"))
-    return f.join(one, "bin").groupBy("rid").agg(F.round(F.sum(F.col("w") * F.col("v")), 5).alias("sim"))
+    # the cells of one record, at most twice its 150 peaks
+    first = f.orderBy("id").limit(1).select(F.explode(F.arrays_zip("cells", "weights")).alias("c")).select("c.cells", F.col("c.weights").alias("v"))
+    each = f.select("id", F.explode(F.arrays_zip("cells", "weights")).alias("c")).select("id", "c.cells", "c.weights")
+    return each.join(F.broadcast(first), "cells").groupBy(F.col("id").alias("rid")).agg(F.round(F.sum(F.col("weights") * F.col("v")), 5).alias("sim"))
 
 
 @q("k30_subformula_shares")
@@ -102,9 +106,7 @@ def _(t):
 
 @q("o6_similarity_strata", f"{SIMS}, k AS (SELECT d.* FROM d JOIN train_spectra a ON a.rid = d.qid JOIN train_spectra b ON b.rid = d.rid WHERE a.inchikey14 IS DISTINCT FROM b.inchikey14), mx AS (SELECT qid, max(sim) AS sim FROM k GROUP BY qid) SELECT CASE WHEN sim >= 0.8 THEN 'S1' WHEN sim >= 0.6 THEN 'S2' WHEN sim >= 0.4 THEN 'S3' WHEN sim >= 0.2 THEN 'S4' ELSE 'S5' END AS stratum, count(*) AS n FROM mx GROUP BY 1")
 def _(t):
-    keys = t.train_spectra.select("rid", "inchikey14")
-    asked = keys.where("rid % 100 = 0").select(F.col("rid").alias("qid"), "inchikey14")
-    best = knn(t, asked.join(keys, asked.inchikey14.eqNullSafe(keys.inchikey14)).select("qid", "rid")).where("rank = 1")
+    best = knn(t, masked=True).where("rank = 1")
     s = F.when(F.col("sim") >= 0.8, "S1").when(F.col("sim") >= 0.6, "S2").when(F.col("sim") >= 0.4, "S3").when(F.col("sim") >= 0.2, "S4").otherwise("S5")
     return best.groupBy(s.alias("stratum")).agg(F.count("*").alias("n"))
 

@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 from peakloom.functions import chem as C
 from peakloom.functions import fingerprints as P
 from peakloom.functions import spectra as S
+from peakloom.operators import blocks as B
 from peakloom.operators import joins as J
 from peakloom.operators import ranking as R
 from peakloom.plans.registry import Registry
+from peakloom.session import cut
 
 q = Registry()
 PEAKS = "SELECT rid, precursor_mz, unnest(ms2_mzs) AS mz, unnest(ms2_normalized_intensities) AS it FROM train_spectra"
 SOUND = f"SELECT * FROM ({PEAKS}) WHERE mz > 0 AND it > 0 AND NOT isnan(mz) AND NOT isnan(it)"
 CLEAN = f"""c AS (SELECT * FROM ({SOUND}) WHERE precursor_mz IS NULL OR isnan(precursor_mz) OR mz <= precursor_mz + 0.5), b AS (SELECT *, max(it) OVER (PARTITION BY rid) AS base FROM c),
-    k AS (SELECT rid, mz, it / base AS it, row_number() OVER (PARTITION BY rid ORDER BY it DESC, mz) AS r FROM b WHERE it >= 0.01 * base), p AS (SELECT * FROM k WHERE r <= 20)"""
+    k AS (SELECT rid, mz, it / base AS it, row_number() OVER (PARTITION BY rid ORDER BY it DESC, mz) AS r FROM b WHERE it >= 0.01 * base), p AS (SELECT * FROM k WHERE r <= 100)"""
 
 
 @q("k1_sorted_peaks", f"SELECT rid, count(*) AS n, round(arg_min(it, mz), 6) AS first_it FROM ({SOUND}) GROUP BY rid HAVING count(DISTINCT mz) = count(*)")
@@ -31,51 +33,52 @@ def _(t):
 
 @q("k2_clean", f"WITH {CLEAN} SELECT rid, count(*) AS n, round(sum(it), 6) AS total, round(min(mz), 6) AS lo, round(max(mz), 6) AS hi FROM p GROUP BY rid")
 def _(t):
-    s = S.clean_peaks(t.train_spectra.select("rid", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities"), top=20).where(F.size("peaks") > 0)
+    s = S.clean_peaks(t.train_spectra.select("rid", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities")).where(F.size("peaks") > 0)
     return s.select("rid", F.size("peaks").cast("bigint").alias("n"), F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["it"]), 6).alias("total"), F.round(F.col("peaks")[0]["mz"], 6).alias("lo"), F.round(F.element_at("peaks", -1)["mz"], 6).alias("hi"))
 
 
 @q("k4_entropy_weights", f"""WITH {CLEAN}, n AS (SELECT rid, it / sum(it) OVER (PARTITION BY rid) AS p FROM p), e AS (SELECT *, abs(sum(p * ln(p)) OVER (PARTITION BY rid)) AS s FROM n),
     w AS (SELECT rid, s, CASE WHEN s < 3 THEN pow(p, 0.25 + 0.25 * s) ELSE p END AS w FROM e) SELECT rid, round(max(s), 5) AS entropy, round(max(w) / sum(w), 5) AS top_weight FROM w GROUP BY rid""")
 def _(t):
-    s = S.clean_peaks(t.train_spectra.select("rid", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities"), top=20).where(F.size("peaks") > 0)
+    s = S.clean_peaks(t.train_spectra.select("rid", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities")).where(F.size("peaks") > 0)
     return S.entropy_weights(s).select("rid", F.round(F.abs("entropy"), 5).alias("entropy"), F.round(F.array_max("weights"), 5).alias("top_weight"))
 
 
-@q("k12_merged_predictions", f"""WITH m AS (SELECT inchikey14 AS g, round(mz, 1) AS mz, sum(it) AS it FROM (SELECT inchikey14, unnest(ms2_mzs) AS mz, unnest(ms2_normalized_intensities) AS it FROM train_spectra) WHERE mz > 0 AND it > 0 AND g IS NOT NULL GROUP BY ALL)
-    SELECT g, mz, round(it, 6) AS it FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(it, 9) DESC, mz) AS r FROM m) WHERE r <= 10""")
+@q("k12_merged_predictions", f"""WITH m AS (SELECT inchikey14 AS g, floor(mz * 10000 + 0.5) / 10000 AS mz, sum(it) AS it FROM (SELECT inchikey14, unnest(ms2_mzs) AS mz, unnest(ms2_normalized_intensities) AS it FROM train_spectra) WHERE mz > 0 AND it > 0 AND g IS NOT NULL GROUP BY ALL)
+    SELECT g, mz, round(it, 6) AS it FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(it, 9) DESC, mz) AS r FROM m) WHERE r <= 100""")
 def _(t):
-    m = S.merge_predictions(t.train_spectra.where("inchikey14 is not null").select(F.col("inchikey14").alias("g"), "ms2_mzs", "ms2_normalized_intensities"), "g", 1, 10)
+    m = S.merge_predictions(t.train_spectra.where("inchikey14 is not null").select(F.col("inchikey14").alias("g"), "ms2_mzs", "ms2_normalized_intensities"), "g")
     return m.select("g", "mz", F.round("it", 6).alias("it"))
 
 
-@q("k13_window_picks", f"""WITH s AS ({SOUND}), w AS (SELECT rid, mz, it, row_number() OVER (PARTITION BY rid, floor(mz / 50) ORDER BY it DESC, mz) AS w FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN w > 2 THEN 1 ELSE 0 END, it DESC, mz) AS rank FROM w)
-    SELECT rid, count(*) AS n, round(sum(sqrt(it)), 5) AS total FROM r WHERE rank <= 16 GROUP BY rid""")
+@q("k13_window_picks", f"""WITH s AS ({SOUND}), w AS (SELECT rid, mz, it, row_number() OVER (PARTITION BY rid, floor(mz / 50) ORDER BY it DESC, mz) AS w FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN w > 8 THEN 1 ELSE 0 END, it DESC, mz) AS rank FROM w)
+    SELECT rid, count(*) AS n, round(sum(sqrt(it)), 5) AS total FROM r WHERE rank <= 128 GROUP BY rid""")
 def _(t):
-    p = S.window_picks(t.train_spectra.select("rid", "ms2_mzs", "ms2_normalized_intensities"), "rid", 50.0, 2, 16)
+    p = S.window_picks(t.train_spectra.select("rid", "ms2_mzs", "ms2_normalized_intensities"), "rid")
     return p.groupBy("rid").agg(F.count("*").alias("n"), F.round(F.sum("it"), 5).alias("total"))
 
 
-BINS = f"""s AS (SELECT rid, precursor_mz, mz, sqrt(it) AS v FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY it DESC, mz) AS r FROM ({SOUND})) WHERE r <= 60), x AS (SELECT rid, CAST(floor(mz / 0.5) AS BIGINT) AS bin, v FROM s
-    UNION ALL SELECT rid, CAST(-1 - floor((precursor_mz - mz) / 0.5) AS BIGINT), v FROM s WHERE precursor_mz - mz > 0.5 AND NOT isnan(precursor_mz)), f AS (SELECT rid, bin, sum(v) AS v FROM x GROUP BY ALL),
+BINS = f"""s AS (SELECT rid, precursor_mz, mz, sqrt(it) AS v FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY it DESC, mz) AS r FROM ({SOUND})) WHERE r <= 150), x AS (SELECT rid, CAST(floor(mz / 0.1::DOUBLE) AS BIGINT) AS bin, v FROM s
+    UNION ALL SELECT rid, CAST(-1 - floor((precursor_mz - mz) / 0.1::DOUBLE) AS BIGINT), v FROM s WHERE precursor_mz - mz > 0.5 AND NOT isnan(precursor_mz)), f AS (SELECT rid, bin, sum(v) AS v FROM x GROUP BY ALL),
     n AS (SELECT rid, bin, v / sqrt(sum(v * v) OVER (PARTITION BY rid)) AS w FROM f)"""
 
 
-def features(t, width=0.5, top=60):
-    s = t.train_spectra.select("rid", F.nanvl("precursor_mz", F.lit(None).cast("double")).alias("precursor_mz"), "ms2_mzs", "ms2_normalized_intensities")
-    return S.bin_features(s, "rid", "precursor_mz", width, top)
+def features(t, *more: str):
+    """(id, cells, weights, ...) of the 150 strongest peaks in cells of 0.1."""
+    return B.peak_cells(t.train_spectra, "rid", "ms2_mzs", "ms2_normalized_intensities", "precursor_mz", 0.1, 150, more=more)
 
 
 @q("k14_bin_features", f"WITH {BINS} SELECT rid, count(*) AS n, round(sum(w), 5) AS total, min(bin) AS lo, max(bin) AS hi FROM n GROUP BY rid")
 def _(t):
-    return features(t).groupBy("rid").agg(F.count("*").alias("n"), F.round(F.sum("w"), 5).alias("total"), F.min("bin").alias("lo"), F.max("bin").alias("hi"))
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    return features(t).select(F.col("id").alias("rid"), F.size("cells").cast("bigint").alias("n"), F.round(total, 5).alias("total"), F.array_min("cells").alias("lo"), F.array_max("cells").alias("hi"))
 
 
-def knn(t, mask=None, width=0.5, top=60):
-    f = features(t, width, top)
-    mode = t.train_spectra.select("rid", "ionization_mode")
-    f = f.join(mode, "rid")
-    return S.nearest_by_bins(f.where("rid % 100 = 0").withColumnRenamed("rid", "qid"), f, "qid", "rid", 5, "ionization_mode", mask)
+def knn(t, masked=False):
+    """(qid, rid, sim, rank): the five nearest of the same polarity to each record whose rid is divisible by 100; masked leaves out those of its own molecule."""
+    more = ("ionization_mode", "inchikey14") if masked else ("ionization_mode",)
+    f = features(t, *more).where("ionization_mode is not null").withColumnsRenamed({"ionization_mode": "grp", "inchikey14": "apart"})
+    return B.nearest_by_cells(f, cut(f.where("id % 100 = 0"), "asked"), 5, digits=9, itself=True).withColumnsRenamed({"query": "qid", "other": "rid"})
 
 
 SIMS = f"WITH {BINS}, m AS (SELECT n.*, t.ionization_mode AS mode FROM n JOIN train_spectra t USING (rid)), d AS (SELECT a.rid AS qid, b.rid, round(sum(a.w * b.w), 9) AS sim FROM m a JOIN m b ON a.bin = b.bin AND a.mode = b.mode WHERE a.rid % 100 = 0 GROUP BY ALL)"
@@ -83,55 +86,45 @@ SIMS = f"WITH {BINS}, m AS (SELECT n.*, t.ionization_mode AS mode FROM n JOIN tr
 
 @q("j20_nearest_spectra", f"{SIMS} SELECT qid, rank, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, rid) AS rank FROM d) WHERE rank <= 5")
 def _(t):
-    return knn(t).select("qid", "rank", F.round("sim", 5).alias("sim"))
+    return knn(t).select("qid", F.col("rank").cast("bigint").alias("rank"), F.round("sim", 5).alias("sim"))
 
 
 @q("j21_masked_nearest", f"{SIMS}, k AS (SELECT d.* FROM d JOIN train_spectra a ON a.rid = d.qid JOIN train_spectra b ON b.rid = d.rid WHERE a.inchikey14 IS DISTINCT FROM b.inchikey14) SELECT qid, rank, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, rid) AS rank FROM k) WHERE rank <= 5")
 def _(t):
-    keys = t.train_spectra.select("rid", "inchikey14")
-    asked = keys.where("rid % 100 = 0").select(F.col("rid").alias("qid"), "inchikey14")
-    mask = asked.join(keys, asked.inchikey14.eqNullSafe(keys.inchikey14)).select("qid", "rid")
-    return knn(t, mask).select("qid", "rank", F.round("sim", 5).alias("sim"))
+    return knn(t, masked=True).select("qid", F.col("rank").cast("bigint").alias("rank"), F.round("sim", 5).alias("sim"))
 
 
-def mass_pairs(t):
-    """Each asked spectrum (rid divisible by 100) with all spectra of its adduct and precursor, both cleaned."""
-    s = S.clean_peaks(t.train_spectra.where("precursor_mz > 0 and not isnan(precursor_mz)").select("rid", "adduct", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities"))
-    s = S.entropy_weights(s.where(F.size("peaks") > 0)).select("rid", "adduct", "precursor_mz", F.transform("peaks", lambda p: p["mz"]).alias("m"), F.transform("peaks", lambda p: p["it"]).alias("v"), "weights")
-    asked = s.where("rid % 100 = 0").select(F.col("rid").alias("qid"), "adduct", F.col("precursor_mz").alias("pa"), F.col("m").alias("ma"), F.col("v").alias("va"), F.col("weights").alias("ea"))
-    refs = s.select("rid", "adduct", F.col("precursor_mz").alias("pb"), F.col("m").alias("mb"), F.col("v").alias("vb"), F.col("weights").alias("eb"))
-    return J.tolerance_join(asked, refs, "pa", "pb", da=0.01, on=("adduct",)).where("rid <> qid")
-
-
-def best_scores(t, kind, wa, wb):
-    p = mass_pairs(t).withColumnsRenamed({wa: "wa", wb: "wb"}).select("qid", "rid", "ma", "wa", "mb", "wb", "pa", "pb")
-    return R.top_k(S.score_pairs(p, kind).select("qid", "rid", F.round("score", 6).alias("score")), ["qid"], [F.desc("score"), F.col("rid")], 5)
+def best_scores(t, kind, reach=0.01, at=0.0):
+    """(qid, rid, score, r): the five best of the same adduct and precursor to each record whose rid is divisible by 100."""
+    found = B.best_by_peaks(t.train_spectra, F.col("rid") % 100 == 0, kind, 5, reach, at)
+    return found.select(F.col("query").alias("qid"), F.col("other").alias("rid"), F.col("sim").alias("score"), F.col("rank").alias("r"))
 
 
 @q("k5_entropy_similarity")
 def _(t):
-    return best_scores(t, "entropy", "ea", "eb")
+    return best_scores(t, "entropy")
 
 
 @q("k6_cosine")
 def _(t):
-    return best_scores(t, "cosine", "va", "vb")
+    return best_scores(t, "cosine")
 
 
 @q("k9_modified_cosine")
 def _(t):
-    return best_scores(t, "modified", "va", "vb")
+    return best_scores(t, "modified")
 
 
 @q("k7_shifted_similarity")
 def _(t):
     # analogues: structures one oxygen lighter, asked for by their records
-    s = S.entropy_weights(S.clean_peaks(t.train_spectra.where("precursor_mz > 0 and not isnan(precursor_mz)").select("rid", "adduct", "precursor_mz", "ms2_mzs", "ms2_normalized_intensities")).where(F.size("peaks") > 0))
-    s = s.select("rid", "adduct", "precursor_mz", F.transform("peaks", lambda p: p["mz"]).alias("m"), "weights")
-    a = s.where("rid % 100 = 0").select(F.col("rid").alias("qid"), "adduct", F.col("precursor_mz").alias("pa"), F.col("m").alias("ma"), F.col("weights").alias("wa"), (F.col("precursor_mz") - 15.99491 - 0.01).alias("lo"), (F.col("precursor_mz") - 15.99491 + 0.01).alias("hi"))
-    b = s.select("rid", "adduct", F.col("precursor_mz").alias("pb"), F.col("m").alias("mb"), F.col("weights").alias("wb"))
-    p = J.range_join(a, b, "lo", "hi", "pb", 0.02, on=("adduct",)).select("qid", "rid", "ma", "wa", "mb", "wb", "pa", "pb")
-    return R.top_k(S.score_pairs(p, "shifted").select("qid", "rid", F.round("score", 6).alias("score")), ["qid"], [F.desc("score"), F.col("rid")], 5)
+    return best_scores(t, "shifted", at=15.99491)
+
+
+@q("k8_analogues")
+def _(t):
+    # one query against all references of its adduct within 150 Da, at shifted places too
+    return best_scores(t, "shifted", reach=150.0)
 
 
 @q("k11_merged_queries")
@@ -143,7 +136,7 @@ def _(t):
 @q("k16_votes")
 def _(t):
     fp = t.train_structs.select("inchikey14", P.words("fp").alias("w")).where("w is not null")
-    near = knn(t, width=0.1, top=150).join(t.train_spectra.select("rid", "inchikey14"), "rid").join(fp, "inchikey14").withColumn("b", P.bits("w"))
+    near = knn(t).join(t.train_spectra.select("rid", "inchikey14"), "rid").join(fp, "inchikey14").withColumn("b", P.bits("w"))
     return P.vote(near, "qid", "sim", "b").groupBy("qid").agg(F.round(F.sum("p"), 5).alias("expected_bits"), F.count_if(F.col("p") > 0.5).alias("likely_bits"))
 
 
