@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,13 +13,18 @@ HOT_SHARE = 1 / 500
 SALTS = 32
 
 
-def tree_aggregate(df: DataFrame, keys: Sequence[str], states: dict[str, tuple[Column, str]], fan_in: int = 16, chunks: int | None = None) -> DataFrame:
+#: States of a key that one merge receives at most.
+FAN_IN = 16
+
+
+def tree_aggregate(df: DataFrame, keys: Sequence[str], states: dict[str, tuple[Column, str]], fan_in: int | None = None) -> DataFrame:
     """Multi-level tree aggregation of mergeable states.
 
     ``states`` maps an output name to (expression of the rows, merge), merge being ``sum``, ``min`` or ``max``. Each input
-    chunk (a scan partition) is combined where it lies; then rounds of ``fan_in`` merge the states of neighbouring chunks
-    until one is left, so no reducer ever receives more than ``fan_in`` states of a key. Null keys form groups of their own;
-    an empty input gives an empty result.
+    chunk (what a scan task reads, a fixed size) is combined where it lies, before the exchange; then rounds merge the states
+    of ``fan_in`` neighbouring chunks until one is left, so no reducer ever receives more than ``fan_in`` states of a key,
+    however many chunks hold it. The fan-in is the root of the number of chunks, FAN_IN at most, unless it is given; so more
+    than one chunk takes two rounds at least. Null keys form groups of their own; an empty input gives an empty result.
     """
     merge = {"sum": F.sum, "min": F.min, "max": F.max}
     for _, how in states.values():
@@ -27,12 +33,14 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], states: dict[str, tuple[C
     clash = set(states) & set(keys)
     if clash:
         raise ValueError(f"states named like keys: {sorted(clash)}")
-    n = chunks or max(2, df.rdd.getNumPartitions())
+    n = max(1, df.rdd.getNumPartitions())
+    fan_in = max(2, fan_in or min(FAN_IN, math.isqrt(n - 1) + 1))
     rows = df.select(*keys, *(e.alias(k) for k, (e, _) in states.items()), F.spark_partition_id().alias("__chunk"))
-    while n > fan_in:
+    while True:
         n = -(-n // fan_in)
-        rows = rows.withColumn("__chunk", (F.col("__chunk") / fan_in).cast("int")).groupBy(*keys, "__chunk").agg(*(merge[how](k).alias(k) for k, (_, how) in states.items()))
-    return rows.groupBy(*keys).agg(*(merge[how](k).alias(k) for k, (_, how) in states.items()))
+        rows = rows.withColumn("__chunk", F.floor(F.col("__chunk") / fan_in)).groupBy(*keys, "__chunk").agg(*(merge[how](k).alias(k) for k, (_, how) in states.items()))
+        if n <= fan_in:
+            return rows.groupBy(*keys).agg(*(merge[how](k).alias(k) for k, (_, how) in states.items()))
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE) -> DataFrame:

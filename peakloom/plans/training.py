@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.operators.skew import tree_aggregate
@@ -17,24 +19,37 @@ def values_of(df: DataFrame, *more: str) -> DataFrame:
 
 
 def large_values(df: DataFrame, share: float = 1 / 40) -> DataFrame:
-    """(field, value) of the stored values that hold at least ``share`` of the rows; nulls count as rows, not as values."""
+    """(field, value) of the stored values that hold at least ``share`` of the rows; nulls count as rows, not as values.
+
+    The number of rows comes from the files' footers, so the table is read once.
+    """
     counts = tree_aggregate(values_of(df), ["field", "value"], {"n": (F.lit(1), "sum")})
-    totals = counts.groupBy("field").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "field").where((F.col("n") >= F.col("total") * share) & F.col("value").isNotNull()).select("field", "value")
+    return counts.where((F.col("n") >= df.count() * share) & F.col("value").isNotNull()).select("field", "value")
+
+
+def list_hash(seed: int, *cols: str) -> Column:
+    """A hash of list columns; null elements count too, which a plain hash skips."""
+    holes = functools.reduce(lambda a, b: a | b, [F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(True)) for c in cols])
+    return F.when(holes, F.xxhash64(F.lit(seed), F.to_json(F.struct(*cols)))).otherwise(F.xxhash64(F.lit(seed), *[x for c in cols for x in (F.size(c), F.col(c))]))
 
 
 def per_key(df: DataFrame) -> DataFrame:
     """(field, value, n_records, n_spectra, n_peaks, n_adducts) of every value, null included.
 
-    n_spectra counts different peak lists, n_adducts different adducts. Distinct counts go through the same tree: first by
-    (value, adduct) and (value, peak list), of which each then stands once.
+    n_spectra counts different peak lists, n_adducts different adducts. Distinct counts go through the same tree: a record
+    gives one state for its adduct and one for its peak list (hashes of 128 bits), and equal ones merge on the way. The table
+    is read once.
     """
-    rows = values_of(df.select(*FIELDS, "adduct", F.coalesce(F.size("ms2_mzs"), F.lit(0)).alias("peaks"), F.when(F.col("ms2_mzs").isNotNull(), F.md5(F.concat(F.to_json(F.struct("ms2_mzs")), F.to_json(F.struct("ms2_normalized_intensities"))))).alias("spectrum")), "adduct", "peaks", "spectrum")
-    by_adduct = tree_aggregate(rows, ["field", "value", "adduct"], {"n": (F.lit(1), "sum"), "p": (F.greatest(F.col("peaks"), F.lit(0)).cast("bigint"), "sum")})
-    by_spectrum = tree_aggregate(rows, ["field", "value", "spectrum"], {"n": (F.lit(1), "sum")})
-    left = by_adduct.groupBy("field", "value").agg(F.sum("n").alias("n_records"), F.sum("p").alias("n_peaks"), F.count("adduct").alias("n_adducts"))
-    right = by_spectrum.groupBy(F.col("field").alias("f2"), F.col("value").alias("v2")).agg(F.count("spectrum").alias("n_spectra"))
-    return left.join(right, (F.col("field") == F.col("f2")) & F.col("value").eqNullSafe(F.col("v2"))).select("field", "value", "n_records", "n_spectra", "n_peaks", "n_adducts")
+    lists = ("ms2_mzs", "ms2_normalized_intensities")
+    items = [
+        F.struct(F.lit("adduct").alias("kind"), *[F.when(F.col("adduct").isNotNull(), F.xxhash64(F.lit(s), "adduct")).alias(f"h{s}") for s in (1, 2)], F.lit(1).alias("n"), F.greatest(F.coalesce(F.size("ms2_mzs"), F.lit(0)), F.lit(0)).cast("bigint").alias("p")),
+        F.struct(F.lit("spectrum").alias("kind"), *[F.when(F.col("ms2_mzs").isNotNull(), F.col(f"s{s}")).alias(f"h{s}") for s in (1, 2)], F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("p")),
+    ]
+    rows = df.select(*FIELDS, "adduct", *lists).withColumns({f"s{s}": list_hash(s, *lists) for s in (1, 2)})
+    rows = rows.select(*FIELDS, F.explode(F.array(*items)).alias("x")).select(*FIELDS, "x.*")
+    states = tree_aggregate(values_of(rows, "kind", "h1", "h2", "n", "p"), ["field", "value", "kind", "h1", "h2"], {"n_": (F.col("n"), "sum"), "p_": (F.col("p"), "sum")})
+    of = lambda kind: F.count_if((F.col("kind") == kind) & F.col("h1").isNotNull())
+    return states.groupBy("field", "value").agg(F.sum("n_").alias("n_records"), of("spectrum").alias("n_spectra"), F.sum("p_").alias("n_peaks"), of("adduct").alias("n_adducts"))
 
 
 def queries():

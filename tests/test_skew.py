@@ -48,6 +48,17 @@ def test_labels_have_their_own_partition(spark):
     assert sorted(r.p for r in df.collect()) == list(range(7))
 
 
+def test_per_key_goes_through_the_tree_in_one_scan(spark, data, tmp_path):
+    t = spark.read.parquet(f"{data}/train_spectra.parquet")
+    t.repartition(9).write.parquet(f"{tmp_path}/t")
+    t = spark.read.option("maxPartitionBytes", 1).parquet(f"{tmp_path}/t")
+    for df, limit in ((per_key(t), 4), (large_values(t), 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and "__chunk" in plan and plan.count("Exchange hashpartitioning") in (limit - 1, limit)
+    rows = spark.createDataFrame([(1, "A", "q", "x", [1.0, None], [1.0, 1.0]), (2, "A", "q", "x", [None, 1.0], [1.0, 1.0])], "rid bigint, inchikey14 string, instrument_type string, adduct string, ms2_mzs array<double>, ms2_normalized_intensities array<double>")
+    assert {r.n_spectra for r in per_key(rows).collect()} == {2}
+
+
 SCHEMA = "rid bigint, inchikey14 string, instrument_type string, adduct string, ms2_mzs array<double>, ms2_normalized_intensities array<double>, n bigint, value string, total bigint"
 
 
