@@ -1,39 +1,61 @@
-"""Evaluation passages that stand, wholly or partly, in a corpus."""
+"""Evaluation passages that stand, wholly or partly, in a corpus.
+
+Texts become lists of word hashes. All 5-grams of the passages are seeds, in a table; a hashed map of them, of bounded size,
+tells which texts may hold one, and these texts' 5-grams are joined with the seeds. Each pair of a text and a passage that
+share a seed is aligned.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.functions.peaks import log2_clamp
 from peakloom.llm.text import words
+from peakloom.operators.skew import hot_keys, salted_join
+from peakloom.session import cut
 
 #: A leak has at least LEAST words of the passage, of which at most one in PER is edited.
 LEAST, PER = 16, 8
 #: Words of a seed. Two edits leave fourteen of sixteen words in three runs, so one run has five words; longer leaks have longer runs.
+#: A leak at the limit may hold one seed only, so seeds that are frequent in the corpus can't be left out.
 SEED = 5
-ITEMS_AT_ONCE = 20_000
+#: The map of seeds has 2^15 to 2^25 bits (4 MB at most), 32 for each seed until then; a fuller one only lets more texts pass.
+LEAST_BITS, MOST_BITS, BITS_EACH = 15, 25, 32
+#: Parts into which the passages that share a seed with one text are cut before they are gathered.
+PARTS = 16
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
+_PRIME, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
-def passages(items: list[tuple]) -> list[tuple]:
-    """(item id, words) of each stretch of an item without the sentences that another item has too."""
-    cut = [(i, [tuple(words(s)) for s in _SENTENCE.split(p)]) for i, p in items if i is not None and p]
-    seen = Counter(s for _, ss in cut for s in set(ss))
-    out = []
-    for i, ss in cut:
-        run: list[str] = []
-        for s in [*ss, None]:
-            if s is not None and seen[s] == 1:
-                run += s
-            else:
-                if len(run) >= LEAST:
-                    out.append((i, run))
-                run = run if s == () else []
-    return out
+def word_hashes(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all lists on end, where each list begins and the last ends)."""
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    flat = "\0".join(w for x in lists for w in x)
+    if not starts[-1]:
+        return np.zeros(0, "i8"), starts
+    codes = np.frombuffer((flat + "\0").encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    ends = np.flatnonzero(codes == 0)
+    begin = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(codes)) - np.repeat(begin, ends - begin + 1)
+    powers = np.cumprod(np.full(int(place.max()) + 1, _PRIME))
+    h = np.add.reduceat(codes * powers[place], begin) + (ends - begin).astype("u8")
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return (h ^ (h >> np.uint64(29))).view("i8"), starts
+
+
+def grams(h: np.ndarray, n: int = SEED) -> np.ndarray:
+    """Hashes of the n consecutive words from each place on."""
+    out = np.zeros(max(0, len(h) - n + 1), "u8")
+    for k in range(n if len(out) else 0):
+        out = (out ^ h.view("u8")[k : k + len(out)]) * _MIX
+        out ^= out >> np.uint64(32)
+    return out.view("i8")
 
 
 def _reach(p: list[int], d: list[int], i: int, j: int, step: int, most: int) -> list[int]:
@@ -65,8 +87,8 @@ def _reach(p: list[int], d: list[int], i: int, j: int, step: int, most: int) ->
 def aligned(p: list[int], d: list[int], i: int, j: int, least: int = LEAST, per: int = PER) -> int:
     """Length of a stretch of ``p`` around the equal words p[i] and d[j] that ``d`` holds with few enough edits, or 0.
 
-    Smith-Waterman alignment with a budget of edits in place of scores: a changed, dropped or added word is an edit, and a
-    stretch begins and ends with words that are there.
+    Local (Smith-Waterman) alignment with a budget of edits in place of scores, as the definition counts edits: a changed,
+    dropped or added word is an edit, and a stretch begins and ends with words that are there.
     """
     most = 2
     while True:
@@ -81,89 +103,173 @@ def aligned(p: list[int], d: list[int], i: int, j: int, least: int = LEAST, per:
         most = min(len(p) // per, most * 2)
 
 
-class Finder:
-    """Looks up the leaked passages of one text."""
-
-    def __init__(self, items: list[tuple]):
-        self.runs = passages(items)
-        self.number: dict[str, int] = {}
-        for _, ws in self.runs:
-            for w in ws:
-                self.number.setdefault(w, len(self.number) + 1)
-        self.ids = [[self.number[w] for w in ws] for _, ws in self.runs]
-        self.sets = [frozenset(x) for x in self.ids]
-        self.seeds: dict[tuple, list[int]] = {}
-        self.where: list[dict[tuple, list[int]]] = [{} for _ in self.ids]
-        for k, x in enumerate(self.ids):
-            for at, s in enumerate(zip(*(x[j : len(x) - SEED + 1 + j] for j in range(SEED)))):
-                self.where[k].setdefault(s, []).append(at)
-        for k, grams in enumerate(self.where):
-            for s in grams:
-                self.seeds.setdefault(s, []).append(k)
-        # the rarest seeds of a text are tried first
-        self.keys = self.seeds.keys()
-
-    def find(self, text: str | None) -> list[tuple]:
-        """(item id, words) of the items that leaked into ``text``."""
-        get = self.number.get
-        d = [get(w, 0) for w in words(text)]
-        grams = list(zip(*(d[j : len(d) - SEED + 1 + j] for j in range(SEED)))) if len(d) >= SEED else []
-        hit = self.keys & set(grams)
-        if not hit:
-            return []
-        at: dict[int, list[int]] = {}
-        for pos, g in enumerate(grams):
-            if g in hit:
-                for k in self.seeds[g]:
-                    at.setdefault(k, []).append(pos)
-        out: dict = {}
-        for k, positions in at.items():
-            item = self.runs[k][0]
-            if item in out:
-                continue
-            p, have = self.ids[k], self.sets[k]
-            done: set = set()
-            for pos in positions:
-                for start in self.where[k][grams[pos]]:
-                    # back to the beginning of this run of equal words, so that each run is tried once
-                    i, j = start, pos
-                    while i and j and p[i - 1] == d[j - 1]:
-                        i, j = i - 1, j - 1
-                    if (i, j) in done:
-                        continue
-                    done.add((i, j))
-                    lo = max(0, j - LEAST)
-                    if sum(map(have.__contains__, d[lo : j + 2 * LEAST])) < LEAST - LEAST // PER:
-                        continue
-                    if size := aligned(p, d, i, j):
-                        out[item] = size
-                        break
-                if item in out:
-                    break
-        return list(out.items())
+@lru_cache(maxsize=4096)
+def _seeds_of(run: bytes) -> tuple[list[int], frozenset, np.ndarray, list[list[int]]]:
+    """A passage's words, their set, its seeds in order, and where each of them stands."""
+    h = np.frombuffer(run, "i8")
+    where: dict[int, list[int]] = {}
+    for at, g in enumerate(grams(h).tolist()):
+        where.setdefault(g, []).append(at)
+    return h.tolist(), frozenset(h.tolist()), np.array(sorted(where), "i8"), [where[g] for g in sorted(where)]
+
+
+class Text:
+    """A text of a corpus that shares seeds with passages."""
+
+    def __init__(self, h: np.ndarray):
+        self.words, g = h.tolist(), grams(h)
+        self.order = np.argsort(g, kind="stable")
+        self.grams = g[self.order]
+
+    def leaked(self, run: bytes) -> int:
+        """Words of a stretch of the passage ``run`` that the text holds, at least LEAST with few enough edits, or 0."""
+        p, have, seeds, where = _seeds_of(run)
+        d = self.words
+        lo, hi = np.searchsorted(self.grams, seeds, "left"), np.searchsorted(self.grams, seeds, "right")
+        hits = sorted((int(pos), k) for k in np.flatnonzero(hi > lo).tolist() for pos in self.order[lo[k] : hi[k]])
+        done: set = set()
+        for pos, k in hits:
+            for start in where[k]:
+                # back to the beginning of this run of equal words, so that each run is tried once
+                i, j = start, pos
+                while i and j and p[i - 1] == d[j - 1]:
+                    i, j = i - 1, j - 1
+                if (i, j) in done:
+                    continue
+                done.add((i, j))
+                first = max(0, j - LEAST)
+                if sum(map(have.__contains__, d[first : j + 2 * LEAST])) < LEAST - LEAST // PER:
+                    continue
+                if size := aligned(p, d, i, j):
+                    return size
+        return 0
+
+
+def passage_runs(items: DataFrame) -> DataFrame:
+    """(item_id, run, words): the stretches of each item between sentences that another item has too.
+
+    Which sentences occur in more than one item is counted over all items, by their hash. Null ids and passages are left out,
+    equal rows count once.
+    """
+    kind = dict(items.dtypes)["item_id"]
+
+    def sentences(batches):
+        for b in batches:
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            rows, places, lists = [], [], []
+            for r, t in enumerate(texts):
+                for place, s in enumerate(_SENTENCE.split(t)):
+                    if ws := words(s):
+                        rows.append(r)
+                        places.append(place)
+                        lists.append(ws)
+            h, starts = word_hashes(lists)
+            sig = [h[a:b].tobytes() for a, b in zip(starts, starts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(rows, pa.int64())), b.column(2).take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(sig, pa.binary())], ["item_id", "text", "place", "sentence"]
+            )
+
+    def runs(batches):
+        for b in batches:
+            rows, flat = [], []
+            for r, ss in enumerate(b.column(1).to_pylist()):
+                run = b""
+                for s in [*ss, {"shared": True, "sentence": b""}]:
+                    if not s["shared"]:
+                        run += s["sentence"]
+                    elif run:
+                        if len(run) >= 8 * LEAST:
+                            rows.append(r)
+                            flat.append(run)
+                        run = b""
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(flat, pa.binary())], ["item_id", "words"])
+
+    known = items.select("item_id", "passage").where("item_id is not null and passage is not null").distinct()
+    cutted = cut(known.select("item_id", "passage", F.xxhash64("passage").alias("text")).mapInArrow(sentences, f"item_id {kind}, text bigint, place int, sentence binary"), "sentences")
+    shared = cutted.groupBy("sentence").agg(F.count_distinct("item_id").alias("n")).where("n > 1").select("sentence", F.lit(True).alias("shared"))
+    marked = cutted.join(shared, "sentence", "left").select("item_id", "text", F.struct("place", F.coalesce("shared", F.lit(False)).alias("shared"), "sentence").alias("s"))
+    # the sentences of one passage
+    whole = marked.groupBy("item_id", "text").agg(F.array_sort(F.collect_list("s")).alias("s")).select("item_id", "s")
+    found = whole.mapInArrow(runs, f"item_id {kind}, words binary").distinct()
+    return cut(found.withColumn("run", F.xxhash64("item_id", "words")), "runs")
+
+
+def _seed_map(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """One bit for each slot of the hashed seeds, and the number of bits as a power of two."""
+    bits = log2_clamp(float(BITS_EACH * max(1, seeds.count())), LEAST_BITS, MOST_BITS)
+    slot = F.col("gram").bitwiseAND((1 << bits) - 1)
+    parts = seeds.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
+    out = np.zeros(1 << bits, bool)
+    for bucket, part in parts.toLocalIterator():  # at most 2^10 parts of 4 kB
+        lo = (bucket - 1) << 15
+        out[lo : lo + (1 << 15)] = np.unpackbits(np.frombuffer(bytes(part), "u1"), bitorder="little").astype(bool)
+    return np.packbits(out), bits
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, n_words): documents that hold at least sixteen consecutive words of a passage, at most one in eight edited.
 
-    Items are a stated query set: they are taken in blocks of ITEMS_AT_ONCE, each block held against all documents in one pass.
-    Their 5-grams are the seeds; whatever shares one is aligned. Null and empty texts and passages give nothing; repeated
-    documents come out once for each row; without items the result is empty.
+    Documents are normalised once, in one pass; texts without a seed end there. Equal texts are compared once and every copy
+    comes out. n_words is the longest stretch that was found first, of the item's runs. Null and empty texts and passages give
+    nothing; repeated documents come out once for each row; without items or documents the result is empty.
     """
-    known = [(r[0], r[1]) for r in items.select("item_id", "passage").where("item_id is not null and passage is not null").toLocalIterator()]
     kind, item_kind = dict(documents.dtypes)[doc_id], dict(items.dtypes)["item_id"]
-    schema = f"{doc_id} {kind}, item_id {item_kind}, n_words int"
+    runs = passage_runs(items)
+
+    def seeds_of(batches):
+        for b in batches:
+            lists = [np.unique(grams(np.frombuffer(w, "i8"))) for w in b.column(1).to_pylist()]
+            size = [len(x) for x in lists]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.concatenate(lists) if lists else np.zeros(0, "i8"))], ["run", "gram"])
+
+    seeds = cut(runs.select("run", "words").mapInArrow(seeds_of, "run bigint, gram bigint"), "seeds")
+    table, bits = _seed_map(seeds)
+    shared = documents.sparkSession.sparkContext.broadcast(table)
+
+    def probe(batches):
+        table, mask = shared.value, np.int64((1 << bits) - 1)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                h, starts = word_hashes([words(t) for t in part.column(1).to_pylist()])
+                g = grams(h)
+                slot = g & mask
+                hit = np.flatnonzero(table[slot >> 3] >> (7 - (slot & 7)).astype("u1") & 1)
+                row = np.searchsorted(starts, hit, "right") - 1
+                inside = hit + SEED <= starts[row + 1]  # not across two texts
+                hit, row = hit[inside], row[inside]
+                keep, first = np.unique(row, return_index=True)
+                ends = np.append(first[1:], len(row))
+                found = [np.unique(g[hit[x:y]]) for x, y in zip(first, ends)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype("i4"))
+                text = [h[starts[r] : starts[r + 1]].tobytes() for r in keep]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(text, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, "i8")))], [doc_id, "words", "grams"])
+
     rows = documents.select(F.col(doc_id), F.col("text")).where("text is not null")
-    result = None
-    for start in range(0, max(1, len(known)), ITEMS_AT_ONCE):
-        block = known[start : start + ITEMS_AT_ONCE]
-
-        def run(batches, block=block):
-            finder = Finder(block)
-            for pdf in batches:
-                found = [(d, i, n) for d, t in zip(pdf[doc_id].tolist(), pdf["text"].tolist()) for i, n in finder.find(t)]
-                yield pd.DataFrame(found, columns=[doc_id, "item_id", "n_words"])
-
-        part = rows.mapInPandas(run, schema)
-        result = part if result is None else result.union(part)
-    return result
+    passed = rows.mapInArrow(probe, f"{doc_id} {kind}, words binary, grams array<bigint>")
+    held = cut(passed.withColumn("sig", F.md5("words")), "texts")
+    texts = held.groupBy("sig").agg(F.first("words").alias("words"), F.first("grams").alias("grams"))
+    wanted = texts.select("sig", F.explode("grams").alias("gram"))
+    hot = hot_keys(wanted.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    pairs = salted_join(wanted, seeds, "gram", hot, "sig", "inner").select("sig", "run").distinct()
+    # a text meets the passages that share a seed with it in PARTS parts
+    near = pairs.join(runs.select("run", "item_id", "words"), "run").groupBy("sig", F.pmod("run", F.lit(PARTS)).alias("part")).agg(F.collect_list("item_id").alias("items"), F.collect_list("words").alias("runs"))
+
+    def align(batches):
+        for b in batches:
+            sigs, at, ids, size = [], [], [], []
+            offsets = b.column(2).offsets.to_numpy()
+            for r, (text, ps) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist())):
+                whole = Text(np.frombuffer(text, "i8"))
+                for k, p in enumerate(ps):
+                    if n := whole.leaked(p):
+                        sigs.append(r)
+                        at.append(offsets[r] - offsets[0] + k)
+                        size.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(sigs, pa.int64())), b.column(2).flatten().take(pa.array(at, pa.int64())), pa.array(size, pa.int32())], ["sig", "item_id", "n_words"])
+
+    # few rows of much work: as many tasks as there are places for
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = near.join(texts.select("sig", "words"), "sig").select("sig", "words", "items", "runs").repartition(tasks).mapInArrow(align, f"sig string, item_id {item_kind}, n_words int")
+    once = found.groupBy("sig", "item_id").agg(F.max("n_words").alias("n_words"))
+    return held.select(doc_id, "sig").join(once, "sig").select(doc_id, "item_id", "n_words")

@@ -48,10 +48,10 @@ def has_leak(p, d, least=16, per=8):
     )
 
 
-def test_finder_equals_brute_force():
+def test_alignment_equals_brute_force():
     rng = random.Random(4)
     passage = BASE[:24]
-    finder = leaks.Finder([(1, " ".join(passage))])
+    hashes = lambda ws: leaks.word_hashes([ws])[0]
     both = {True: 0, False: 0}
     for _ in range(120):
         d = list(passage[rng.randint(0, 6) : rng.randint(17, 24)])
@@ -66,7 +66,7 @@ def test_finder_equals_brute_force():
                 del d[at]
         d = ["before"] * 3 + d + ["after"] * 2
         want = has_leak(passage, d)
-        assert bool(finder.find(" ".join(d))) == want, d
+        assert bool(leaks.Text(hashes(d)).leaked(hashes(passage).tobytes())) == want, d
         both[want] += 1
     assert min(both.values()) > 10
 
@@ -81,6 +81,33 @@ def test_leaks_of_odd_rows(spark):
     assert leaks.leaks(docs(spark, []), items).count() == 0 and leaks.leaks(docs(spark, rows), items.limit(0)).count() == 0
 
 
+def test_sentences_are_counted_over_all_items(spark):
+    long = " ".join(f"s{i}" for i in range(30)) + "."
+    own = [" ".join(f"{c}{i}" for i in range(30)) + "." for c in "abc"]
+    items = [(i, f"{own[i]} {long}") for i in range(2)] + [(2, own[2]), (2, own[2])]
+    rows = [(1, long, "", ""), (2, own[0], "", ""), (3, own[2], "", "")]
+    for parts in (1, 7):
+        df = spark.createDataFrame(items, "item_id bigint, passage string").repartition(parts)
+        assert sorted((r.doc_id, r.item_id) for r in leaks.leaks(docs(spark, rows), df).collect()) == [(2, 0), (3, 2)]
+
+
+def test_a_hot_text_and_a_hot_seed(spark):
+    own = [" ".join([f"{c}{i}" for i in range(20)] + ["it", "was", "seen", "again", "today"] + [f"{c}{i}" for i in range(20, 40)]) for c in "abcdefgh"]
+    items = spark.createDataFrame(list(enumerate(own)), "item_id bigint, passage string")
+    rows = [(i, own[0], "", "") for i in range(200)] + [(1000 + i, f"n{i} it was seen again today m{i}", "", "") for i in range(200)] + [(5000, own[3], "", "")]
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs(spark, rows), items).collect()}
+    assert got == {(i, 0) for i in range(200)} | {(5000, 3)}
+
+
+def test_long_markup(spark):
+    want = words("before the text after")
+    tag = "<div " + " ".join(f'data-{i}="value {i} > 2"' for i in range(60)) + ">"
+    assert words(f"before {tag}the text</div> after") == want
+    assert words(f"before <!-- {'note < ' * 2000} -->the <b style='{'x:1;' * 90}'>text</b> after") == want
+    assert words("a <b and c " + "d " * 150 + "> e")[:3] == ["a", "b", "and"] and words("<!-- open " * 3) == ["open"] * 3
+    assert len(words("<a " * 50_000)) == 50_000 and len(words("<!--" * 50_000 + " x")) == 1
+
+
 # ---- mixing
 def test_allocation():
     got = mixing.allocate({"a": 0.5, "b": 0.3, "c": 0.2, "none": 0.4}, {"a": 1e9, "b": 1e9, "c": 10.0, "none": 0.0}, 1000.0)
