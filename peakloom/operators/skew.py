@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least this share of the rows; so there are at most 1 / HOT_SHARE hot keys.
@@ -33,8 +33,7 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], states: dict[str, tuple[C
     clash = set(states) & set(keys)
     if clash:
         raise ValueError(f"states named like keys: {sorted(clash)}")
-    n = max(1, df.rdd.getNumPartitions())
-    fan_in = max(2, fan_in or min(FAN_IN, math.isqrt(n - 1) + 1))
+    n, fan_in = _tree(df, fan_in)
     rows = df.select(*keys, *(e.alias(k) for k, (e, _) in states.items()), F.spark_partition_id().alias("__chunk"))
     while True:
         n = -(-n // fan_in)
@@ -43,6 +42,40 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], states: dict[str, tuple[C
             return rows.groupBy(*keys).agg(*(merge[how](k).alias(k) for k, (_, how) in states.items()))
 
 
+def _tree(df: DataFrame, fan_in: int | None) -> tuple[int, int]:
+    """(chunks, fan-in) of a tree over the tasks that read ``df``."""
+    n = max(1, df.rdd.getNumPartitions())
+    return n, max(2, fan_in or min(FAN_IN, math.isqrt(n - 1) + 1))
+
+
+def smallest_k(c: Column, k: int) -> Column:
+    """Aggregate: the ``k`` smallest values in order, from a heap that is bounded at ``k``, kept on the map side and merged.
+
+    Spark has this as an aggregate for its recommenders; it isn't among the functions of the Python API, so it is asked for by
+    name. Values must not be null; structs may hold nulls, which come first.
+    """
+    from pyspark.sql.classic.column import _to_java_column, _to_seq
+
+    sc = SparkSession.active().sparkContext
+    columns = getattr(getattr(sc._jvm.org.apache.spark.sql, "Column$"), "MODULE$")
+    return Column(columns.internalFn("collect_top_k", _to_seq(sc, [c, F.lit(k), F.lit(True)], _to_java_column)))
+
+
+def tree_heaps(df: DataFrame, keys: Sequence[str], value: Column, k: int, fan_in: int | None = None) -> DataFrame:
+    """(keys, value): the ``k`` smallest values of each key, one row each, in rounds as ``tree_aggregate``.
+
+    A task hands on a heap of at most ``k`` values of a key, and no merge receives more than ``fan_in`` heaps of a key.
+    """
+    n, fan_in = _tree(df, fan_in)
+    rows = df.select(*keys, value.alias("__v"), F.spark_partition_id().alias("__chunk"))
+    while True:
+        n = -(-n // fan_in)
+        rows = rows.withColumn("__chunk", F.floor(F.col("__chunk") / fan_in)).groupBy(*keys, "__chunk").agg(smallest_k(F.col("__v"), k).alias("__v"))
+        rows = rows.withColumn("__v", F.explode("__v"))
+        if n <= fan_in:
+            return rows.groupBy(*keys).agg(smallest_k(F.col("__v"), k).alias("__v")).select(*keys, F.explode("__v").alias("value"))
+
+
 def hot_keys(counts: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE) -> DataFrame:
     """(key) of the keys with at least ``share`` of all rows, at most 1/share of them, from one row of counts a key."""
     total = counts.agg(F.sum(n)).first()[0] or 0

@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from peakloom.operators.skew import bucketed_prefix, hot_keys, salted_join, spread_labels, tree_aggregate
+from peakloom.operators.skew import bucketed_prefix, hot_keys, salted_join, spread_labels, tree_aggregate, tree_heaps
 from peakloom.plans.training import large_values, per_key
 
 
@@ -21,6 +21,19 @@ def test_tree_aggregate_of_nothing(spark):
     assert tree_aggregate(spark.createDataFrame([], "k string, v bigint"), ["k"], {"n": (F.lit(1), "sum")}).count() == 0
 
 
+def test_tree_heaps_equal_sorting(spark):
+    rows = [("hot" if i % 3 else None if i % 7 == 0 else f"k{i % 11}", (i * 37) % 101 if i % 5 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v bigint, i bigint").repartition(23)
+    got = {}
+    for r in tree_heaps(df, ["k"], F.struct(F.col("v").isNull().alias("n"), "v", "i"), 4, fan_in=3).collect():
+        got.setdefault(r.k, []).append((r.value.v, r.value.i))
+    want = {}
+    for k, v, i in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+        want.setdefault(k, []).append((v, i))
+    assert got == {k: x[:4] for k, x in want.items()}
+    assert tree_heaps(df.limit(0), ["k"], F.col("i"), 4).count() == 0
+
+
 def test_salted_join_equals_join(spark):
     rows = [(i, "hot" if i % 2 else None if i % 10 == 0 else f"k{i % 50}") for i in range(3000)]
     left = spark.createDataFrame(rows, "id bigint, k string")
