@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.keys import SPACE, record_key
+from peakloom.operators.skew import tree_heaps
+from peakloom.session import cut
 
 CAP = 5
 
@@ -23,31 +23,30 @@ def sound_score(c: str) -> Column:
     return F.when(~F.isnan(s) & s.between(0.0, 1.0), s)
 
 
-def bounded_heaps(rows: DataFrame, group: Sequence[str], score: str, rid: str, cap: int = CAP, fan: int = 64) -> DataFrame:
-    """The ``cap`` best (score, id) pairs of each group: heaps bounded at ``cap``, merged as a tree.
+def best_of(records: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """The records that have a lib, a key and a rid, as (rid, lib, group_key, score), and (rid, lib, group_key) of the best ``cap`` of each lib and key.
 
-    The rank limit is applied by Spark before each exchange too (WindowGroupLimit), so a map task hands on at most ``cap``
-    pairs of a group. The first merge takes the pairs of a group from one of ``fan`` parts, the second those parts.
+    The best are found from (score, rid) pairs alone: heaps bounded at ``cap`` are kept by each map task and merged in a tree.
     """
-    best = [F.col(score).desc_nulls_last(), F.col(rid).asc()]
-    first = Window.partitionBy(*group, "__part").orderBy(*best)
-    last = Window.partitionBy(*group).orderBy(*best)
-    parts = rows.withColumn("__part", F.pmod(F.xxhash64(rid), F.lit(fan)).cast("int")).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= cap)
-    return parts.drop("__part", "__r").withColumn("__r", F.row_number().over(last)).where(F.col("__r") <= cap).drop("__r")
+    rows = records.select(F.col("rid"), contributor("ingest_lib").alias("lib"), record_key().alias("group_key"), sound_score("quality_score").alias("score")).where("rid is not null and lib is not null and group_key is not null")
+    order = F.struct(F.col("score").isNull().alias("last"), (-F.col("score")).alias("worse"), F.col("rid").alias("rid"))
+    return rows, tree_heaps(rows, ["lib", "group_key"], order, cap).select("value.rid", "lib", "group_key")
 
 
 def cap_records(records: DataFrame, cap: int = CAP) -> DataFrame:
-    """(rid, lib, group_key, score, kept): each record of train_spectra that has a lib and a key.
+    """(rid, lib, group_key, score, kept): each record of train_spectra that has a rid, a lib and a key.
 
-    Best first: sound scores from high to low, then the rest alike, then the smaller rid. Records without a key or lib stay
-    out. Columns beside the needed ones don't matter. A rid that stands several times takes several places of the cap, and all
-    its rows are kept if one is.
+    Best first: sound scores from high to low, then the rest alike, then the smaller rid. Records without a rid, key or lib
+    stay out. Columns beside the needed ones don't matter. A rid that stands several times in a group takes several places of
+    the cap, and all its rows there are kept if one is.
     """
-    rows = records.select(F.col("rid"), contributor("ingest_lib").alias("lib"), record_key().alias("group_key"), sound_score("quality_score").alias("score")).where("lib is not null and group_key is not null")
-    kept = bounded_heaps(rows, ["lib", "group_key"], "score", "rid", cap).select("rid").distinct().withColumn("kept", F.lit(True))
-    return rows.join(kept, "rid", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    rows, best = best_of(records, cap)
+    on = ["rid", "lib", "group_key"]
+    kept = cut(best.distinct(), "kept")
+    return rows.join(kept, on, "left_semi").withColumn("kept", F.lit(True)).union(rows.join(kept, on, "left_anti").withColumn("kept", F.lit(False)))
 
 
 def dropped(records: DataFrame, cap: int = CAP) -> DataFrame:
     """(rid) of the records beyond the cap."""
-    return cap_records(records, cap).where(~F.col("kept")).select("rid")
+    rows, best = best_of(records, cap)
+    return rows.join(best, ["rid", "lib", "group_key"], "left_anti").select("rid")
