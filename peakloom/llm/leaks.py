@@ -1,8 +1,8 @@
 """Evaluation passages that stand, wholly or partly, in a corpus.
 
-Texts become lists of word hashes. All 5-grams of the passages are seeds, in a table; a hashed map of them, of bounded size,
-tells which texts may hold one, and these texts' 5-grams are joined with the seeds. Each pair of a text and a passage that
-share a seed is aligned.
+Texts become lists of word hashes. All 5-grams of the passages are seeds, in a table. Hashed maps of bounded size tell where
+a text holds enough 3-grams and seeds of passages for a leak; seeds from there are joined with the table, and each pair of a
+text and a passage that share enough of them is aligned.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ LEAST, PER = 16, 8
 #: Words of a seed. Two edits leave fourteen of sixteen words in three runs, so one run has five words; longer leaks have longer runs.
 #: A leak at the limit may hold one seed only, so seeds that are frequent in the corpus can't be left out.
 SEED = 5
-#: The map of seeds has 2^15 to 2^25 bits (4 MB at most), 32 for each seed until then; a fuller one only lets more texts pass.
-LEAST_BITS, MOST_BITS, BITS_EACH = 15, 25, 32
+#: A map of n-grams has 2^15 to 2^28 bits (32 MB at most), 32 for each n-gram until then; a fuller one only lets more texts pass.
+LEAST_BITS, MOST_BITS, BITS_EACH = 15, 28, 32
+#: A leak of 2 * LEAST words or more has a half that is one too, so there is one of fewer. With e edits its L - e words that are
+#: there stand in e + 1 runs within L + e words of the text, so SPAN words of the text hold at least MANY 3-grams and SEEDS seeds
+#: of the passage: L - 3e - 2 and L - 5e - 4, which is least for sixteen words and two edits.
+SPAN, SHORT, MANY, SEEDS = 34, 3, 8, 2
 #: Parts into which the passages that share a seed with one text are cut before they are gathered.
 PARTS = 16
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
@@ -194,16 +198,21 @@ def passage_runs(items: DataFrame) -> DataFrame:
     return cut(found.withColumn("run", F.xxhash64("item_id", "words")), "runs")
 
 
-def _seed_map(seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """One bit for each slot of the hashed seeds, and the number of bits as a power of two."""
-    bits = log2_clamp(float(BITS_EACH * max(1, seeds.count())), LEAST_BITS, MOST_BITS)
+def _map(rows: DataFrame) -> tuple[np.ndarray, np.int64]:
+    """One bit for each slot of the hashed n-grams, and the mask that makes a slot of a hash."""
+    bits = log2_clamp(float(BITS_EACH * max(1, rows.count())), LEAST_BITS, MOST_BITS)
     slot = F.col("gram").bitwiseAND((1 << bits) - 1)
-    parts = seeds.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
+    parts = rows.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
     out = np.zeros(1 << bits, bool)
-    for bucket, part in parts.toLocalIterator():  # at most 2^10 parts of 4 kB
+    for bucket, part in parts.toLocalIterator():  # at most 2^13 parts of 4 kB
         lo = (bucket - 1) << 15
         out[lo : lo + (1 << 15)] = np.unpackbits(np.frombuffer(bytes(part), "u1"), bitorder="little").astype(bool)
-    return np.packbits(out), bits
+    return np.packbits(out), np.int64((1 << bits) - 1)
+
+
+def _known(table: tuple[np.ndarray, np.int64], g: np.ndarray) -> np.ndarray:
+    slot = g & table[1]
+    return (table[0][slot >> 3] >> (7 - (slot & 7)).astype("u1") & 1).astype(bool)
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -216,42 +225,50 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> Dat
     kind, item_kind = dict(documents.dtypes)[doc_id], dict(items.dtypes)["item_id"]
     runs = passage_runs(items)
 
-    def seeds_of(batches):
-        for b in batches:
-            lists = [np.unique(grams(np.frombuffer(w, "i8"))) for w in b.column(1).to_pylist()]
-            size = [len(x) for x in lists]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.concatenate(lists) if lists else np.zeros(0, "i8"))], ["run", "gram"])
+    def grams_of(n: int):
+        def run(batches):
+            for b in batches:
+                lists = [np.unique(grams(np.frombuffer(w, "i8"), n)) for w in b.column(1).to_pylist()]
+                size = [len(x) for x in lists]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.concatenate(lists) if lists else np.zeros(0, "i8"))], ["run", "gram"])
+
+        return cut(runs.select("run", "words").mapInArrow(run, "run bigint, gram bigint"), "grams")
 
-    seeds = cut(runs.select("run", "words").mapInArrow(seeds_of, "run bigint, gram bigint"), "seeds")
-    table, bits = _seed_map(seeds)
-    shared = documents.sparkSession.sparkContext.broadcast(table)
+    seeds = grams_of(SEED)
+    shared = documents.sparkSession.sparkContext.broadcast((_map(seeds), _map(grams_of(SHORT))))
 
     def probe(batches):
-        table, mask = shared.value, np.int64((1 << bits) - 1)
+        long, short = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 h, starts = word_hashes([words(t) for t in part.column(1).to_pylist()])
+                # places from which on SPAN words hold enough 3-grams, then all places within such a stretch
+                few = np.concatenate([[0], np.cumsum(_known(short, grams(h, SHORT)))])
+                n = np.arange(len(h) + 1)
+                full = few[np.minimum(n + SPAN, len(few) - 1)] - few[np.minimum(n, len(few) - 1)] >= MANY
+                within = np.cumsum(np.bincount(n[full], minlength=len(h) + 1) - np.bincount(np.minimum(n[full] + SPAN, len(h)), minlength=len(h) + 1)) > 0
                 g = grams(h)
-                slot = g & mask
-                hit = np.flatnonzero(table[slot >> 3] >> (7 - (slot & 7)).astype("u1") & 1)
+                at = np.flatnonzero(within[: len(g)])
+                hit = at[_known(long, g[at])]
                 row = np.searchsorted(starts, hit, "right") - 1
                 inside = hit + SEED <= starts[row + 1]  # not across two texts
                 hit, row = hit[inside], row[inside]
                 keep, first = np.unique(row, return_index=True)
-                ends = np.append(first[1:], len(row))
-                found = [np.unique(g[hit[x:y]]) for x, y in zip(first, ends)]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype("i4"))
+                found = [np.unique(g[hit[x:y]], return_counts=True) for x, y in zip(first, np.append(first[1:], len(row)))]
+                keep, found = zip(*[(r, f) for r, f in zip(keep, found) if f[1].sum() >= SEEDS]) if len(keep) and any(f[1].sum() >= SEEDS for f in found) else ((), ())
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in found])]).astype("i4"))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in found]) if found else np.zeros(0, "i8"))) for k in (0, 1)]
                 text = [h[starts[r] : starts[r + 1]].tobytes() for r in keep]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(text, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, "i8")))], [doc_id, "words", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(text, pa.binary()), *lists], [doc_id, "words", "grams", "counts"])
 
     rows = documents.select(F.col(doc_id), F.col("text")).where("text is not null")
-    passed = rows.mapInArrow(probe, f"{doc_id} {kind}, words binary, grams array<bigint>")
+    passed = rows.mapInArrow(probe, f"{doc_id} {kind}, words binary, grams array<bigint>, counts array<bigint>")
     held = cut(passed.withColumn("sig", F.md5("words")), "texts")
-    texts = held.groupBy("sig").agg(F.first("words").alias("words"), F.first("grams").alias("grams"))
-    wanted = texts.select("sig", F.explode("grams").alias("gram"))
+    texts = held.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("words", "grams", "counts")])
+    wanted = texts.select("sig", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select("sig", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
     hot = hot_keys(wanted.groupBy("gram").agg(F.count("*").alias("n")), "gram")
-    pairs = salted_join(wanted, seeds, "gram", hot, "sig", "inner").select("sig", "run").distinct()
+    pairs = salted_join(wanted, seeds, "gram", hot, "sig", "inner").groupBy("sig", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEDS).select("sig", "run")
     # a text meets the passages that share a seed with it in PARTS parts
     near = pairs.join(runs.select("run", "item_id", "words"), "run").groupBy("sig", F.pmod("run", F.lit(PARTS)).alias("part")).agg(F.collect_list("item_id").alias("items"), F.collect_list("words").alias("runs"))
 
