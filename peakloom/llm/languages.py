@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.llm.text import mend
@@ -41,6 +41,8 @@ COMMON = {
 #: Documents in the sample at most, passages of a language at most, rounds over the passages.
 SAMPLE_DOCUMENTS, SAMPLE_PASSAGES, EPOCHS = 20_000, 1000, 3
 BITS = 16
+#: Characters of a passage of the sample at most.
+LONGEST = 2_000
 #: Characters that are scored at once of a long passage.
 PART = 20_000
 #: A passage has at least so many words (or characters, where words aren't divided).
@@ -49,6 +51,8 @@ PIECE = 9
 
 _ALIAS = {n: code for code, names in NAMES.items() for n in names.split()}
 _CODED = re.compile(r"[A-Za-z+\[(/-]{0,40}\d[A-Za-z0-9.,:+\-\[\]()/]*|\[[^\[\]\s]{0,60}\][+-]?|\b[A-Z]{2}-(?=\s|$)")
+#: Without any of these a text has no code.
+_MAYBE_CODED = re.compile(r"[\d\[]|[A-Z]-")
 _REMARK = re.compile(r"\([^()\n]{0,80}\)|（[^（）\n]{0,40}）|\[[^\[\]\n]{0,80}\]|“[^“”\n]{0,60}”|„[^„“\n]{0,60}“|«[^«»\n]{0,60}»|「[^「」\n]{0,30}」|\"[^\"\n]{0,60}\"")
 _END = re.compile(r"(?<=[.!?;:])\s+|(?<=[。！？])|\n\s*\n|\n(?=[#>\[\d])")
 _SIGN = r"぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
@@ -70,6 +74,8 @@ def label_languages(label: str | None) -> frozenset:
 
 
 def _kind(w: str) -> str:
+    if w.isascii():
+        return "latin"
     return "signs" if _SIGNS.match(w) else "cyrillic" if _CYRILLIC.search(w) else "latin"
 
 
@@ -84,10 +90,14 @@ def passages(text: str) -> list[tuple[str, str, list[str]]]:
     for sentence in _END.split(text):
         if not sentence:
             continue
-        found = _WORD.findall(_CODED.sub(" ", sentence).lower())
+        found = _WORD.findall((_CODED.sub(" ", sentence) if _MAYBE_CODED.search(sentence) else sentence).lower())
         runs: dict[str, list[str]] = {}
-        for w in found:
-            runs.setdefault(_kind(w), []).append(w)
+        if sentence.isascii():
+            if found:
+                runs["latin"] = found
+        else:
+            for w in found:
+                runs.setdefault(_kind(w), []).append(w)
         main = max(runs, key=lambda k: len("".join(runs[k])) * (3 if k == "signs" else 1), default=None)
         for kind, ws in runs.items():
             if kind == "signs":
@@ -99,27 +109,75 @@ def passages(text: str) -> list[tuple[str, str, list[str]]]:
     return out
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, starts): hashed character 1- to 4-grams of all texts on end, words with the blanks around them."""
-    codes = np.frombuffer("\0".join(f" {t} " for t in texts).encode("utf-32-le", "replace"), "<u4").astype("u8") if texts else np.zeros(0, "u8")
-    ends = np.flatnonzero(codes == 0)
-    text_of = np.searchsorted(ends, np.arange(len(codes)))
-    slots, owner = [], []
-    h = np.zeros(len(codes), "u8")
-    bad = np.zeros(len(codes), bool)
+def _codes(texts: list[str]) -> np.ndarray:
+    """The characters of all texts on end, each between blanks and after a 0 but for the first."""
+    return np.frombuffer("\0".join(f" {t} " for t in texts).encode("utf-32-le", "replace"), "<u4").astype("u8") if texts else np.zeros(0, "u8")
+
+
+def _slots(codes: np.ndarray):
+    """(n, slots, bad) of the n-grams from each place on, n from 1 to 4; bad ones cross two texts."""
+    h, bad = np.zeros(len(codes), "u8"), np.zeros(len(codes), bool)
     for n in range(1, 5):
         if len(codes) < n:
-            break
+            return
         h = h[: len(codes) - n + 1] * np.uint64(1_000_003) + codes[n - 1 :]
         bad = bad[: len(codes) - n + 1] | (codes[n - 1 :] == 0)
         mixed = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        slots.append(((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS))[~bad].astype("i4"))
-        owner.append(text_of[: len(h)][~bad])
+        yield n, ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype("i4"), bad
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, starts): hashed character 1- to 4-grams of all texts on end, words with the blanks around them."""
+    codes = _codes(texts)
+    ends = np.flatnonzero(codes == 0)
+    text_of = np.searchsorted(ends, np.arange(len(codes)))
+    slots, owner = [], []
+    for _, slot, bad in _slots(codes):
+        slots.append(slot[~bad])
+        owner.append(text_of[: len(slot)][~bad])
     slot, own = (np.concatenate(slots), np.concatenate(owner)) if slots else (np.zeros(0, "i4"), np.zeros(0, "i8"))
     order = np.argsort(own, kind="stable")
     return slot[order], np.searchsorted(own[order], np.arange(len(texts) + 1))
 
 
+def _segment_sums(texts: list[str], segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]], table: np.ndarray) -> list[np.ndarray]:
+    """Of each list of segments (text, begin, end), each between blanks: the sums of their n-grams' rows by the root of the n-grams' number.
+
+    Segments of a list are in order, and at least a blank apart. Each n-gram is looked up once for all lists.
+    """
+    size = np.array([len(t) + 3 for t in texts], "i8")
+    base = np.cumsum(size) - size
+    spans = [(base[of] + begin, base[of] + end + 2, np.zeros((len(of), table.shape[1])), np.zeros(len(of))) for of, begin, end in segments]
+    for n, slot, _ in _slots(_codes(texts)):
+        rows = np.empty((len(slot) + 1, table.shape[1]), table.dtype)
+        np.take(table, slot, axis=0, out=rows[:-1], mode="clip")
+        rows[-1] = 0
+        for lo, last, sums, count in spans:
+            hi = np.maximum(last - n + 1, lo)
+            if n == 1:  # the blank after a segment is the blank before the next
+                sums += rows[hi - 1]
+                hi = hi - 1
+                count += 1
+            count += hi - lo
+            # from each segment's first n-gram up to its end, and from there up to the next segment
+            got = np.add.reduceat(rows, np.stack([lo, hi], 1).ravel(), axis=0)[::2]
+            got[hi <= lo] = 0
+            sums += got
+    return [sums / np.sqrt(np.maximum(count, 1))[:, None] for _, _, sums, count in spans]
+
+
+def _chunks(sizes: list[int], most: int):
+    """Ranges of consecutive entries of about ``most`` together."""
+    lo = 0
+    while lo < len(sizes):
+        hi, total = lo, 0
+        while hi < len(sizes) and (hi == lo or total + sizes[hi] <= most):
+            total += sizes[hi]
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
 def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int) -> np.ndarray:
     """Weights (slots x classes) of linear machines with the hinge loss, by averaged stochastic descent; y is +1 or -1."""
     rng = np.random.default_rng(seed)
@@ -143,6 +201,10 @@ def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int) ->
     return np.clip(w, -most, most).astype("f4")
 
 
+#: The families that a script may have.
+ALLOWED = {"latin": ("germanic", "romance"), "cyrillic": ("slavic",), "signs": ("east_asian",)}
+
+
 class Model:
     """The machines: one for each family, one for each two languages of a family."""
 
@@ -163,38 +225,80 @@ class Model:
             use = np.flatnonzero((lang == a) | (lang == b))
             parts.append(_svm([rows[i] for i in use], np.where(lang[use] == a, 1.0, -1.0)[:, None].astype("f4"), seed))
         self.weights = np.concatenate(parts, axis=1)
+        self._tables: dict = {}
 
-    def scores(self, texts: list[str], chunk: int = 150_000) -> np.ndarray:
-        """Margins of all machines (texts x machines). Texts of any length are taken in parts whose sums are added up."""
-        part, owner = [], []
+    def scores(self, texts: list[str], cols: np.ndarray) -> np.ndarray:
+        """Margins of the machines ``cols`` (texts x machines) for texts of any length, taken in parts whose sums are added up."""
+        out = np.zeros((len(texts), len(cols)))
+        table = self._table(cols)
         for i, t in enumerate(texts):
+            count = 0
             for at in range(0, max(1, len(t)), PART):
-                part.append(t[at : at + PART])
-                owner.append(i)
-        sums, size = np.zeros((len(texts), self.weights.shape[1]), "f8"), np.zeros(len(texts))
-        lo = 0
-        while lo < len(part):
-            hi, chars = lo, 0
-            while hi < len(part) and (hi == lo or chars + len(part[hi]) <= chunk):
-                chars += len(part[hi])
-                hi += 1
-            slots, starts = features(part[lo:hi])
-            # square roots of the counts, as in training, differ little from the counts in short passages
-            add = np.add.reduceat(np.concatenate([self.weights[slots], np.zeros((1, self.weights.shape[1]), "f4")]), np.minimum(starts[:-1], len(slots)), axis=0)
-            n = np.diff(starts)
-            np.add.at(sums, owner[lo:hi], np.where(n[:, None] > 0, add, 0.0))
-            np.add.at(size, owner[lo:hi], n)
-            lo = hi
-        return sums / np.sqrt(np.maximum(size, 1))[:, None]
+                slots, _ = features([t[at : at + PART]])
+                out[i] += table[slots].sum(0)
+                count += len(slots)
+            out[i] /= np.sqrt(max(1, count))
+        return out
+
+    def _table(self, cols: np.ndarray) -> np.ndarray:
+        """Weights of some machines, side by side."""
+        key = tuple(cols)
+        if key not in self._tables:
+            self._tables[key] = np.ascontiguousarray(self.weights[:, cols])
+        return self._tables[key]
+
+    def __getstate__(self):
+        return self.__dict__ | {"_tables": {}}
+
+    def part_scores(self, sentences: list[tuple[str, list[str]]], cols: np.ndarray, chunk: int = 150_000) -> np.ndarray:
+        """Margins of each sentence and, after it, of each of its pieces. N-grams of a sentence are looked up once and added up for both."""
+        out = np.zeros((sum(1 + len(ps) for _, ps in sentences), len(cols)))
+        first = np.concatenate([[0], np.cumsum([1 + len(ps) for _, ps in sentences])])
+        long = [i for i, (t, _) in enumerate(sentences) if len(t) > PART]
+        for i in long:
+            out[first[i] : first[i + 1]] = self.scores([sentences[i][0], *sentences[i][1]], cols)
+        rest = [i for i, (t, _) in enumerate(sentences) if len(t) <= PART]
+        table = self._table(cols)
+        for lo, hi in _chunks([len(sentences[i][0]) for i in rest], chunk):
+            own = rest[lo:hi]
+            texts = [sentences[i][0] for i in own]
+            size = [np.array([len(p) for p in sentences[i][1]], "i8") for i in own]
+            of = np.repeat(np.arange(len(own)), [len(x) for x in size])
+            segments = [(np.arange(len(own)), np.zeros(len(own), "i8"), np.array([len(t) for t in texts]))]
+            if len(of):  # pieces follow each other, a blank apart
+                begin = np.concatenate([np.cumsum(x + 1) - x - 1 for x in size])
+                segments.append((of, begin, begin + np.concatenate(size)))
+            got = _segment_sums(texts, segments, table)
+            out[first[own]] = got[0]
+            if len(of):
+                out[first[np.array(own)[of]] + 1 + np.concatenate([np.arange(len(x)) for x in size])] = got[1]
+        return out
 
     def classify(self, texts: list[str], kinds: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, confidence) of each passage. The script limits the families."""
-        s = self.scores(texts)
-        allowed = {"latin": ("germanic", "romance"), "cyrillic": ("slavic",), "signs": ("east_asian",)}
-        mask = np.array([[f in allowed[k] for f in self.families] for k in kinds]) if texts else np.zeros((0, len(self.families)), bool)
+        return self.classify_parts([(k, t, []) for k, t in zip(kinds, texts)])
+
+    def columns(self, kind: str) -> np.ndarray:
+        """The machines that a script needs: those of its families and of their pairs."""
+        names = ALLOWED[kind]
+        members = {x for f in names for x in FAMILIES[f]}
+        return np.array([i for i, f in enumerate(self.families) if f in names] + [len(self.families) + k for k, (a, _) in enumerate(self.pairs) if a in members])
+
+    def classify_parts(self, sentences: list[tuple[str, str, list[str]]]) -> tuple[list[str], np.ndarray]:
+        """(language, confidence) of each (script, sentence, pieces) and, after it, of its pieces. The script limits the families."""
+        kinds = [k for k, _, ps in sentences for _ in range(1 + len(ps))]
+        s = np.zeros((len(kinds), self.weights.shape[1]))
+        first = np.concatenate([[0], np.cumsum([1 + len(ps) for _, _, ps in sentences])]).astype("i8")
+        for kind in ALLOWED:
+            own = [i for i, x in enumerate(sentences) if x[0] == kind]
+            if own:
+                rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in own])
+                cols = self.columns(kind)
+                s[rows[:, None], cols] = self.part_scores([sentences[i][1:] for i in own], cols)
+        mask = np.array([[f in ALLOWED[k] for f in self.families] for k in kinds]) if kinds else np.zeros((0, len(self.families)), bool)
         fam = np.where(mask, s[:, : len(self.families)], -1e9)
-        best = fam.argmax(1) if len(texts) else np.zeros(0, int)
-        langs, sure = [""] * len(texts), np.zeros(len(texts))
+        best = fam.argmax(1) if len(kinds) else np.zeros(0, int)
+        langs, sure = [""] * len(kinds), np.zeros(len(kinds))
         for f, name in enumerate(self.families):
             rows = np.flatnonzero(best == f)
             if not len(rows):
@@ -231,20 +335,30 @@ class Model:
 def train(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_passages: int = SAMPLE_PASSAGES) -> Model:
     """Machines from a bounded sample: the first documents in order of a hash whose label names one language.
 
-    At most ``sample_documents`` documents and ``sample_passages`` passages of a language are used, whatever the input.
+    At most ``sample_documents`` documents and ``sample_passages`` passages of a language, none longer than LONGEST, are used,
+    whatever the input; they are cut where the documents are, so the driver gets no more than four times as many passages.
     """
-    labelled = documents.select("doc_id", "text", "lang").where("text is not null and lang is not null and length(text) < 100000")
-    rows = labelled.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(sample_documents).select("text", "lang").collect()
-    by: dict[str, list[tuple[str, str]]] = {x: [] for x in LANGUAGES}
     fits = {"latin": ("de", "en", "es", "fr", "it", "nl", "pt"), "cyrillic": ("ru",), "signs": ("ja", "zh")}
-    for text, label in rows:
-        names = label_languages(label)
-        if len(names) != 1:
-            continue
-        (x,) = names
-        for kind, p, pieces in passages(text):
-            if x in fits[kind] and len(by[x]) < 4 * sample_passages:
-                by[x] += [(kind, q) for q in [p, *pieces]]
+
+    def cut_up(batches):
+        for pdf in batches:
+            rows = []
+            for place, text, label in zip(pdf.place, pdf.text, pdf.lang):
+                names = label_languages(label)
+                if len(names) == 1:
+                    (x,) = names
+                    found = [(kind, q) for kind, p, pieces in passages(text) if x in fits[kind] for q in [p, *pieces] if len(q) <= LONGEST]
+                    rows += [(place, i, x, kind, q) for i, (kind, q) in enumerate(found[: 4 * sample_passages])]
+            yield pd.DataFrame(rows, columns=["place", "i", "lang", "kind", "passage"])
+
+    labelled = documents.select(F.xxhash64(F.col("doc_id"), F.lit(11)).alias("place"), "doc_id", "text", "lang").where("text is not null and lang is not null")
+    sample = labelled.orderBy("place", "doc_id").limit(sample_documents).select("place", "text", "lang")
+    cut_ = sample.mapInPandas(cut_up, "place bigint, i int, lang string, kind string, passage string")
+    first_ones = Window.partitionBy("lang").orderBy("place", "i", "passage")
+    rows = cut_.withColumn("r", F.row_number().over(first_ones)).where(F.col("r") <= 4 * sample_passages).orderBy("lang", "r").collect()
+    by: dict[str, list[tuple[str, str]]] = {x: [] for x in LANGUAGES}
+    for r in rows:
+        by[r.lang].append((r.kind, r.passage))
     rng = np.random.default_rng(3)
     fixed = []
     for x, ws in COMMON.items():
@@ -281,8 +395,7 @@ def _script_of(lang: str) -> str:
 def stretches(model: Model, texts: list[str | None]) -> list[list[tuple[str, float, str]]]:
     """For each text, its stretches in one language: (language, confidence, words)."""
     cut = [passages(t) if t else [] for t in texts]
-    flat = [(k, q) for ps in cut for k, p, pieces in ps for q in [p, *pieces]]
-    langs, sure = model.classify([q for _, q in flat], [k for k, _ in flat])
+    langs, sure = model.classify_parts([s for ps in cut for s in ps])
     out, at = [], 0
     for ps in cut:
         parts: list[tuple[str, float, str]] = []
