@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 
@@ -61,11 +60,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def forget(spark: SparkSession) -> None:
-    """Remove what ``cut`` has written so far; frames that read it can't be used any more."""
-    root = spark.conf.get(ROOT, None)
-    if root and root.startswith("file:"):
-        shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+def release(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that ``cut`` returned; neither they nor what reads them can be used any more."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, most: int, what: str) -> list:
+    """All rows of a small table on the driver; an error where there are more than ``most``, as none may be left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows

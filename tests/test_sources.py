@@ -77,3 +77,17 @@ def test_streams_equal_batches(spark, data, tmp_path):
     last = spark.table("best").groupBy("user_id").agg(F.max("best").alias("best"), F.max("seen").alias("seen"))
     want = src.groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(F.max("value").alias("best"), F.count("*").alias("seen"))
     assert last.exceptAll(want).count() == 0 and want.exceptAll(last).count() == 0
+
+
+def test_cut_tables_can_be_released(spark):
+    import glob
+
+    from peakloom.session import cut, few, release
+
+    df = cut(spark.range(5), "gone")
+    assert df.count() == 5 and glob.glob(df.cut_path.removeprefix("file://"))
+    release(df)
+    assert not glob.glob(df.cut_path.removeprefix("file://"))
+    assert len(few(spark.range(3), 3, "rows")) == 3
+    with pytest.raises(ValueError):
+        few(spark.range(4), 3, "rows")
