@@ -1,6 +1,7 @@
 import gzip
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from peakloom.sources import readers as S
