@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.peaks import flat_peaks
-from peakloom.llm.graph import BATCH, ENTRIES, Bits, Dense, Graph
-from peakloom.operators.skew import hot_keys, salted_join, spread_labels
+from peakloom.llm.graph import BATCH, ENTRIES, Bits, Dense, Graph, ones
+from peakloom.operators.blocks import nearest_by_cells
+from peakloom.operators.skew import hot_keys, salted_join
 from peakloom.session import cut
 
 K = 5
@@ -36,12 +37,12 @@ def _dense(blobs) -> Dense:
 
 
 #: How each kind of vector is read, how its graphs are built, and the beam of its searches.
-SPACES = {"bits": (_bits, {}, 48), "dense": (_dense, {"degree": 16, "beam": 24, "passes": 1}, 320)}
+SPACES = {"bits": (_bits, {"degree": 20}, 48), "dense": (_dense, {"degree": 16, "beam": 24, "passes": 1}, 320)}
 
 
 def _exact(space, q: np.ndarray, qn: np.ndarray, ids: np.ndarray) -> np.ndarray:
     if isinstance(space, Bits):
-        both = np.bitwise_count(q[:, None, :] & space.x[ids]).sum(-1, dtype="i8")
+        both = ones(q[:, None, :] & space.x[ids])
         return both / np.maximum(1, qn[:, None] + space.n[ids] - both).astype("f8")
     return space.sim(q, qn, ids).astype("f8")
 
@@ -55,10 +56,6 @@ def classes_of(rows: DataFrame, ident: str, vector: str, keep: int) -> DataFrame
     return few.groupBy("vec").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.array_sort(F.collect_list("id")).alias("first"))
 
 
-def _label(index: Column, labels: list[int]) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), (index + 1).cast("int"))
-
-
 def _top_pivots(space: str, pivots: list[bytes], most: int):
     """A function that adds to (rep, vec) the numbers of the ``most`` nearest pivots."""
     make = SPACES[space][0]
@@ -137,44 +134,46 @@ def class_neighbours(classes: DataFrame, space: str, k: int, queries: DataFrame
     count = n if queries is None else asked.count()
     shards, dealt, asked = _routes(classes, asked, space, n, shard, probes)
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        graph = Graph(make(pdf.vec.tolist()), **settings)
-        return pd.DataFrame({"shard": [key[0]], "graph": [zlib.compress(pickle.dumps((pdf.rep.to_numpy(), graph), 5), 1)]})
+    def build(batches):
+        parts = [b for b in batches if len(b)]
+        if parts:
+            pdf = pd.concat(parts).sort_values("rep")
+            graph = Graph(make(pdf.vec.tolist()), **settings)
+            yield pd.DataFrame({"s": [pdf.s.iloc[0]], "graph": [zlib.compress(pickle.dumps((pdf.rep.to_numpy(), graph), 5), 1)]})
 
-    spark = classes.sparkSession
-    own = spread_labels(spark, shards)
-    graphs = cut(dealt.select("rep", "vec", _label(F.col("s"), own).alias("shard")).repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, graph binary"), "graphs")
+    # each shard is a partition of its own
+    graphs = cut(dealt.select("rep", "vec", F.col("s").cast("int").alias("s")).repartitionById(shards, F.col("s").cast("int")).mapInPandas(build, "s int, graph binary"), "graphs")
     # one task for each shard and block of queries
     each = count * min(1.0, (probes or shards) / shards)
     blocks = max(1, -(-int(each) // MOST_QUERIES), min(-(-int(each) // QUERIES), -(-TASKS // shards)))
-    tasks = shards * blocks
-    both = spread_labels(spark, tasks)
-    asked = asked.select("rep", "vec", _label(F.col("s") * blocks + F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)), both).alias("task")).repartition(tasks, "task")
-    order = F.array_position(F.array(*[F.lit(x) for x in own]), F.col("shard")) - 1
-    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("graph", _label(order * blocks + F.col("block"), both).alias("task")).repartition(tasks, "task")
-
-    def search(key, g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(g) and len(q):
-            reps, graph = pickle.loads(zlib.decompress(g.graph.iloc[0]))
-            asked = make(q.vec.tolist())
-            keys = asked.sketch(ENTRIES // 2, SEED)
-            mine = q.rep.to_numpy()
-            for lo in range(0, len(mine), BATCH):
-                rows = np.arange(lo, min(lo + BATCH, len(mine)))
-                x, xn = asked.take(rows)
-                ids, _ = graph.search(x, xn, keys[:, rows], beam=beam)
-                sims = _exact(graph.space, x, xn, np.maximum(ids, 0))
-                other = reps[np.maximum(ids, 0)]
-                bad = (ids < 0) | (other == mine[rows][:, None])
-                order = np.lexsort((other, np.where(bad, 9.0, -sims)), axis=1)[:, :k]
-                other, sims, bad = (np.take_along_axis(v, order, 1) for v in (other, sims, bad))
-                who = np.repeat(mine[rows], order.shape[1])[~bad.ravel()]
-                out.append(pd.DataFrame({"rep": who, "other": other.ravel()[~bad.ravel()], "sim": sims.ravel()[~bad.ravel()]}))
-        return pd.concat(out) if out else pd.DataFrame({"rep": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-
-    found = graphs.groupBy("task").cogroup(asked.groupBy("task")).applyInPandas(search, f"rep {kind}, other {kind}, sim double")
+    asked = asked.select("rep", "vec", (F.col("s") * blocks + F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks))).cast("int").alias("task"), F.lit(None).cast("binary").alias("graph"))
+    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.lit(0).cast(kind).alias("rep"), F.lit(None).cast("binary").alias("vec"), (F.col("s") * blocks + F.col("block")).cast("int").alias("task"), "graph")
+
+    def search(batches):
+        graph, queries = None, []
+        for pdf in batches:
+            own = pdf.graph.notna()
+            if own.any():
+                reps, graph = pickle.loads(zlib.decompress(pdf.graph[own].iloc[0]))
+            queries.append(pdf.loc[~own, ["rep", "vec"]])
+        if graph is None or not sum(map(len, queries)):
+            return
+        q = pd.concat(queries)
+        asked, mine = make(q.vec.tolist()), q.rep.to_numpy().astype(reps.dtype)
+        keys = asked.sketch(ENTRIES // 2, SEED)
+        for lo in range(0, len(mine), BATCH):
+            rows = np.arange(lo, min(lo + BATCH, len(mine)))
+            x, xn = asked.take(rows)
+            ids, _ = graph.search(x, xn, keys[:, rows], beam=beam)
+            sims = _exact(graph.space, x, xn, np.maximum(ids, 0))
+            other = reps[np.maximum(ids, 0)]
+            bad = (ids < 0) | (other == mine[rows][:, None])
+            order = np.lexsort((other, np.where(bad, 9.0, -sims)), axis=1)[:, :k]
+            other, sims, bad = (np.take_along_axis(v, order, 1) for v in (other, sims, bad))
+            who = np.repeat(mine[rows], order.shape[1])[~bad.ravel()]
+            yield pd.DataFrame({"rep": who, "other": other.ravel()[~bad.ravel()], "sim": sims.ravel()[~bad.ravel()]})
+
+    found = graphs.unionByName(asked).repartitionById(shards * blocks, F.col("task")).mapInPandas(search, f"rep {kind}, other {kind}, sim double")
     # a row that is in two shards can be found twice
     best = Window.partitionBy("rep").orderBy(F.col("sim").desc(), "other")
     return found.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
@@ -214,8 +213,8 @@ def similar_structures(structs: DataFrame, k: int = K) -> DataFrame:
     return found.select(F.least("id", "other").alias("sid_a"), F.greatest("id", "other").alias("sid_b")).distinct()
 
 
-#: The width of a spectrum's m/z cells, the queries that are compared at once, and the sums that are held at once.
-CELL, ASKED, SUMS = 0.05, 8_192, 2_000_000
+#: The width of a spectrum's m/z cells, and the queries that are compared at once.
+CELL, ASKED = 0.05, 8_192
 
 
 def spectrum_cells(spectra: DataFrame, ident: str = "rid") -> DataFrame:
@@ -260,79 +259,12 @@ def spectrum_vectors(spectra: DataFrame, ident: str = "rid") -> DataFrame:
     return found.mapInArrow(run, f"id {dict(found.dtypes)['id']}, vec binary")
 
 
-def _best(query, ids, sims, k: int) -> np.ndarray:
-    """Places of the k best of each query; ties go to the smaller id."""
-    order = np.lexsort((ids, -sims, query))
-    q = query[order]
-    return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
-
-
-def _compared(shared, k: int):
-    """A function of spectra (id, cells, weights) that finds the k nearest to each shared query, among those of its partition."""
-
-    def run(batches):
-        asked, cells, begin, who, weight = shared.value
-        n, kth = len(asked), np.full(len(asked), -1.0)
-        best = np.zeros(0, "i8"), np.zeros(0, asked.dtype), np.zeros(0)
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            size = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            row, cell, w = np.repeat(np.arange(len(ids)), size), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy().astype("f8")
-            at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
-            same = cells[at] == cell
-            row, at, w = row[same], at[same], w[same]
-            many = begin[at + 1] - begin[at]
-            starts = np.searchsorted(row, np.arange(len(ids) + 1))
-            work = np.concatenate([[0], np.cumsum(many)])[starts] + np.arange(len(ids) + 1) * n
-            lo = 0
-            while lo < len(ids):
-                hi = max(lo + 1, int(np.searchsorted(work, work[lo] + 2 * SUMS, "right")) - 1)
-                e = slice(starts[lo], starts[hi])
-                c = many[e]
-                # the places of all queries with a peak in the cell of an entry
-                spot = np.arange(c.sum()) + np.repeat(begin[at[e]] - np.cumsum(c) + c, c)
-                sims = np.bincount(np.repeat((row[e] - lo) * n, c) + who[spot], np.repeat(w[e], c) * weight[spot], minlength=(hi - lo) * n).reshape(-1, n)
-                # of those that share no cell with a query only the smallest ids count
-                hit = (sims >= kth) & (sims > 0)
-                few = np.argsort(ids[lo:hi], kind="stable")[: k + 1]
-                hit[few] |= sims[few] >= kth
-                r, q = np.nonzero(hit & (ids[lo:hi, None] != asked))
-                best = tuple(np.concatenate(x) for x in zip(best, (q, ids[lo:hi][r], np.minimum(sims[r, q], 1.0))))
-                top = _best(*best, k)
-                best = tuple(x[top] for x in best)
-                full = np.flatnonzero(np.bincount(best[0], minlength=n) >= k)
-                kth[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
-                lo = hi
-        yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(asked[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query", "rid", "other", "sim"])
-
-    return run
-
-
 def similar_spectra(spectra: DataFrame, k: int = K) -> DataFrame:
     """(rid, other, sim, rank): for every spectrum whose rid is divisible by 100, the k most similar of all spectra.
 
-    Exact: blocks of queries, by cell, meet all spectra where these are read. Ties go to the smaller id.
+    Exact: blocks of ASKED queries, by cell, meet all spectra where these are read. Ties go to the smaller id. A spectrum's
+    similarity with ids that share no cell is 0; such ids come last.
     """
     every = spectrum_cells(spectra)
-    kind = dict(every.dtypes)["id"]
     queries = cut(spectrum_cells(spectra.where("rid % 100 = 0")), "asked")
-    blocks = max(1, -(-queries.count() // ASKED))
-    context = spectra.sparkSession.sparkContext
-    found = None
-    for i in range(blocks):
-        # one block of queries at a time
-        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().combine_chunks().sort_by("id")
-        c, w = block.column("cells").combine_chunks(), block.column("weights").combine_chunks()
-        cell = c.flatten().to_numpy()
-        order = np.argsort(cell, kind="stable")
-        who = np.repeat(np.arange(len(c)), c.value_lengths().to_numpy(zero_copy_only=False))[order]
-        cells, begin = np.unique(cell[order], return_index=True)
-        if not len(cells) and found is not None:
-            continue
-        near = every.limit(0) if not len(cells) else every
-        shared = context.broadcast((block.column("id").to_numpy(), cells, np.append(begin, len(cell)), who, w.flatten().to_numpy()[order].astype("f8")))
-        part = near.mapInArrow(_compared(shared, k), f"query bigint, rid {kind}, other {kind}, sim double")
-        best = Window.partitionBy("query", "rid").orderBy(F.col("sim").desc(), "other")
-        ranked = cut(part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("rid", "other", "sim", "rank"), "nearest")
-        found = ranked if found is None else found.unionByName(ranked)
-    return found
+    return nearest_by_cells(every, queries, k, zeros=True, each=ASKED).select(F.col("query").alias("rid"), "other", "sim", "rank")

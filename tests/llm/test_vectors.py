@@ -77,7 +77,7 @@ def test_routing_to_many_small_shards(spark):
     want = exact(all_reps)
     pairs = {(min(a, b), max(a, b)) for a, bs in got.items() for b in bs}
     assert len(got) == len(all_reps) and {len(v) for v in got.values()} == {5}
-    assert len(pairs & want) / len(want) > 0.8
+    assert len(pairs & want) / len(want) > 0.9
 
 
 @pytest.mark.parametrize("kind", ["bits", "dense"])
