@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.keys import SPACE
 from peakloom.operators.skew import bucketed_prefix
-from peakloom.session import cut
+from peakloom.session import cut, few
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How byte-level BPE vocabularies of this kind split a text (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Expected copies are whole numbers of this fraction, so that running sums are exact.
 UNIT = 1 << 30
+#: Target sources at most; more are an error.
+MOST_TARGETS = 100_000
 _ENCODERS: dict = {}
 
 
@@ -86,7 +88,7 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     """
     docs = cut(documents.select(F.col("doc_id"), source_name("source").alias("source"), token_count("text", tokenizer, pattern).alias("n_tokens")), "tokens")
     wanted: dict[str, tuple[float, int]] = {}
-    for r in sorted(targets.select(source_name("source").alias("s"), "target_weight", "max_repeats").where("s is not null").limit(100_000).collect(), key=lambda r: (r[0], -(r[1] or 0))):
+    for r in sorted(few(targets.select(source_name("source").alias("s"), "target_weight", "max_repeats").where("s is not null"), MOST_TARGETS, "target sources"), key=lambda r: (r[0], -(r[1] or 0))):
         w = r[1] if r[1] is not None and r[1] == r[1] and r[1] > 0 else 0.0
         wanted.setdefault(r[0], (float(w), max(0, 1 if r[2] is None else r[2])))
     spark = documents.sparkSession

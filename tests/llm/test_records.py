@@ -166,3 +166,34 @@ def test_overlaps_equal_brute_force(spark):
     assert got == want and len(want) > 20
     assert overlaps.matches(df(train).limit(0), df(test).withColumnRenamed("rid", "spectrum_id")).count() == 0
     assert overlaps.matches(df(train), df(test).limit(0).withColumnRenamed("rid", "spectrum_id")).count() == 0
+
+
+def test_subset_sums_keep_few_sets():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    sizes = {int(s): int(n) for s, n in zip(rng.choice(np.arange(50, 9000), 2000, False), rng.integers(1, 9, 2000))}
+    tracemalloc.start()
+    got = splits.closest_subset(sizes, 400_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(s * n for s, n in got.items()) == 400_000 and all(n <= sizes[s] for s, n in got.items())
+    assert most < 40e6
+
+
+def test_quotas_in_units_miss_less_than_the_smallest_group():
+    rng = np.random.default_rng(2)
+    histogram = {1: 40, **{int(s): int(n) for s, n in zip(rng.choice(np.arange(2, 900), 60, False), rng.integers(1, 9, 60))}}
+    total = sum(s * n for s, n in histogram.items())
+    targets = [("train", 0.8), ("val", 0.1), ("test", 0.1)]
+    for resolution in (1 << 22, 1000):
+        got = splits.split_quotas(histogram, targets, resolution)
+        assert {s: sum(n for _, n in parts) for s, parts in got.items()} == histogram
+        for name, share in targets:
+            assert abs(sum(s * n for s, parts in got.items() for x, n in parts if x == name) - share * total) <= 2
+
+
+def test_too_many_targets_are_an_error(spark):
+    many = spark.range(splits.MOST_SPLITS + 1).selectExpr("cast(id as string) as split_name", "1.0 as target_share")
+    with pytest.raises(ValueError):
+        splits.assign_splits(spark.createDataFrame([], "rid bigint, inchikey14 string, inchikey string"), spark.createDataFrame([], "inchikey14 string, key string"), many)
