@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.peaks import EPS, flat_peaks, log2_clamp, overlap
+from peakloom.operators.skew import hot_keys, salted_join
 from peakloom.session import cut
 
 TOLERANCE, THRESHOLD = 0.02, 0.9
@@ -88,13 +89,13 @@ def _sketch(test: DataFrame, tol: float) -> tuple[np.ndarray, int]:
     bits = log2_clamp(32.0 * peaks, 16, 25)
 
     def count(batches):
-        table = np.zeros(1 << bits, "u2")
+        table = np.zeros(1 << bits, "u1")
         for b in batches:
             p, (row, m, _, _) = _batch(b, "mz", "it", "prec")
             ok = np.isfinite(p)[row]
             _, k = _positions(p[row][ok], m[ok], tol)
-            table = np.minimum(table + np.bincount(_slot(k, bits), minlength=1 << bits), 255).astype("u2")
-        table = table.astype("u1")
+            slot, n = np.unique(_slot(k, bits), return_counts=True)
+            table[slot] = np.minimum(table[slot].astype("i8") + n, 255)
         for i in range(0, 1 << bits, _BLOCK):
             if (part := table[i : i + _BLOCK]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], ["block", "cells"])
@@ -107,7 +108,7 @@ def _sketch(test: DataFrame, tol: float) -> tuple[np.ndarray, int]:
 
     table = np.zeros(1 << bits, "u1")
     parts = test.select("prec", "mz", "it").mapInArrow(count, "block int, cells binary").groupBy("block").applyInPandas(merge, "block int, cells binary")
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # at most 2^25 bytes
         table[r[0] * _BLOCK : (r[0] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(bytes(r[1])), "u1")
     return table, bits
 
@@ -206,7 +207,9 @@ def matches(train: DataFrame, test: DataFrame, train_id: str = "rid", test_id: s
     seeds = train_one.select(F.col("sig").alias("r_sig"), "need", F.col("prec").alias("r_prec"), F.posexplode(F.arrays_zip("keys", "at")).alias("place", "x")).select("r_sig", "need", "r_prec", "place", F.col("x.keys").alias("key"), F.col("x.at").alias("r_mz"))
     segments = test_one.select("sig", "prec", "mz", "it").mapInArrow(places, "t_sig binary, key bigint, t_prec double, t_mz double")
     near = (F.abs(F.col("r_prec") - F.col("t_prec")) <= tol + EPS) & (F.abs(F.col("r_mz") - F.col("t_mz")) <= tol + EPS)
-    pairs = seeds.join(segments, "key").where(near).groupBy("r_sig", "t_sig").agg(F.count_distinct("place").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("r_sig", "t_sig")
+    # cells that many training strings offer are dealt over many tasks
+    hot = hot_keys(seeds.groupBy("key").agg(F.count("*").alias("n")), "key")
+    pairs = salted_join(seeds, segments, "key", hot, "r_sig", "inner").where(near).groupBy("r_sig", "t_sig").agg(F.count_distinct("place").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("r_sig", "t_sig")
 
     def verify(batches):
         for b in batches:
