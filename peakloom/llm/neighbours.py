@@ -20,7 +20,7 @@ from peakloom.session import cut
 K = 5
 FP_BYTES = 128
 #: Distinct vectors of a shard; small inputs are cut into up to FEW shards of at least a few thousand for the sake of parallel work.
-SHARD, FEW, SMALL = 32_768, 6, 4_096
+SHARD, FEW, SMALL = 32_768, 6, 8_192
 #: Where a query isn't to search all shards: pivots are the first rows of a hash order, PIVOTS a shard, MOST_PIVOTS at most; a row is indexed with its COPIES nearest ones.
 PIVOTS, MOST_PIVOTS, COPIES = 8, 4_096, 2
 #: Queries of one search task: at least the first number, at most the second; in between, as few as make TASKS tasks.
