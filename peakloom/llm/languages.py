@@ -352,7 +352,10 @@ def train(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample
             yield pd.DataFrame(rows, columns=["place", "i", "lang", "kind", "passage"])
 
     labelled = documents.select(F.xxhash64(F.col("doc_id"), F.lit(11)).alias("place"), "doc_id", "text", "lang").where("text is not null and lang is not null")
-    sample = labelled.orderBy("place", "doc_id").limit(sample_documents).select("place", "text", "lang")
+    # hashes are spread evenly, so half as many again as are wanted lie below this one, and no task hands on more than its share
+    share = min(1.0, 1.5 * sample_documents / max(1, labelled.select("doc_id").count()))
+    below = labelled if share == 1.0 else labelled.where(F.col("place") < int(share * 2**64) - 2**63)
+    sample = below.orderBy("place", "doc_id").limit(sample_documents).select("place", "text", "lang")
     cut_ = sample.mapInPandas(cut_up, "place bigint, i int, lang string, kind string, passage string")
     first_ones = Window.partitionBy("lang").orderBy("place", "i", "passage")
     rows = cut_.withColumn("r", F.row_number().over(first_ones)).where(F.col("r") <= 4 * sample_passages).orderBy("lang", "r").collect()
