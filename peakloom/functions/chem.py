@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Callable
@@ -365,6 +366,143 @@ def degree_signature(g) -> list[str]:
     return sorted(f"{e}{d}" for e, d in zip(elements, deg))
 
 
+# ---- identity of graphs
+def _around(n: int, bonds: list[tuple[int, int, int]]) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in range(n)]
+    for a, b, _ in bonds:
+        out[a].append(b)
+        out[b].append(a)
+    return out
+
+
+def _reached(around: list[list[int]], start: int, without: tuple[int, int]) -> dict[int, int]:
+    """Bonds from ``start`` to every atom that can be reached, one bond being gone."""
+    far, queue = {start: 0}, [start]
+    for v in queue:
+        for x in around[v]:
+            if x not in far and {v, x} != set(without):
+                far[x] = far[v] + 1
+                queue.append(x)
+    return far
+
+
+def smallest_rings(n: int, bonds: list[tuple[int, int, int]]) -> tuple[list[int], list[bool]]:
+    """(size of the smallest ring of each atom, 0 for none; whether each bond lies in a ring)."""
+    around, size, ringed = _around(n, bonds), [0] * n, []
+    for a, b, _ in bonds:
+        far = _reached(around, a, (a, b)).get(b)
+        ringed.append(far is not None)
+        for x in (a, b) if far is not None else ():
+            size[x] = min(size[x] or far + 1, far + 1)
+    return size, ringed
+
+
+def graph_key(elements: list[str], hydrogens: list[int], bonds: list[tuple[int, int, int]], rings: list[int], mark: int = -1) -> str:
+    """Fourteen letters: the same for all ways of writing a graph, of numbering its atoms and of drawing its double bonds.
+
+    Atoms are ranked by element, hydrogens, neighbours and smallest ring, then again and again by the ranks around them, until
+    no more can be told apart; the key is a hash of all atoms with their neighbours' ranks. ``mark`` is an atom that differs
+    from all others, as the one where a fragment was cut off.
+    """
+    around = _around(len(elements), bonds)
+    kinds = [(e, h, len(around[k]), rings[k], k == mark) for k, (e, h) in enumerate(zip(elements, hydrogens))]
+
+    def ranks(values: list) -> list[int]:
+        place = {v: i for i, v in enumerate(sorted(set(values)))}
+        return [place[v] for v in values]
+
+    rank = ranks(kinds)
+    while True:
+        new = ranks([(r, tuple(sorted(rank[x] for x in around[k]))) for k, r in enumerate(rank)])
+        if max(new) == max(rank):
+            break
+        rank = new
+    text = repr(sorted((kinds[k], rank[k], sorted(rank[x] for x in around[k])) for k in range(len(elements))))
+    number = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=16).digest())
+    out = ""
+    for _ in range(14):
+        number, letter = divmod(number, 26)
+        out += chr(65 + letter)
+    return out
+
+
+def part_of(g, atoms: list[int]) -> tuple[list[str], list[int], list[tuple[int, int, int]]]:
+    """The atoms of a graph, numbered anew, and the bonds between them."""
+    place = {x: i for i, x in enumerate(atoms)}
+    return [g[0][x] for x in atoms], [g[1][x] for x in atoms], [(place[a], place[b], o) for a, b, o in g[2] if a in place and b in place]
+
+
+def structure_keys(g) -> tuple[str, str, int]:
+    """(key of the whole, key of the largest part, number of parts); of parts of the same number of heavy atoms the heavier, then the smaller key."""
+    around, parts, seen = _around(len(g[0]), g[2]), [], set()
+    for k in range(len(g[0])):
+        if k not in seen:
+            parts.append(sorted(_reached(around, k, (-1, -1))))
+            seen.update(parts[-1])
+    keyed = []
+    for atoms in parts:
+        p = part_of(g, atoms)
+        keyed.append((-sum(e != "H" for e in p[0]), -round(graph_mass(p), 4), graph_key(*p, smallest_rings(len(p[0]), p[2])[0])))
+    whole = keyed[0][2] if len(keyed) == 1 else hashlib.blake2b(" ".join(sorted(k for _, _, k in keyed)).encode(), digest_size=8).hexdigest()[:14].translate(str.maketrans("0123456789abcdef", "ABCDEFGHIJKLMNOP"))
+    return whole, min(keyed)[2], len(parts)
+
+
+def single_cuts(g, most: int = 13) -> list[tuple[str, str, str, float]]:
+    """(constant, variable, environment, mass of the variable part) of each cut of one single bond outside rings.
+
+    The variable part has at most ``most`` heavy atoms and no more than the constant one; both are keys with the cut atom marked.
+    The environment is the constant part's atom at the cut, with its number of neighbours.
+    """
+    n = len(g[0])
+    around = _around(n, g[2])
+    rings, ringed = smallest_rings(n, g[2])
+    out = []
+    for (a, b, order), ring in zip(g[2], ringed):
+        if ring or order != 1:
+            continue
+        side = set(_reached(around, a, (a, b)))
+        whole = set(_reached(around, a, (-1, -1)))
+        for var, at, keep in ((side, a, b), (whole - side, b, a)):
+            rest = whole - var
+            heavy = [sum(g[0][x] != "H" for x in part) for part in (var, rest)]
+            if not 0 < heavy[0] <= min(most, heavy[1]):
+                continue
+            keys = []
+            for part, mark in ((rest, keep), (var, at)):
+                atoms = sorted(part)
+                keys.append(graph_key(*part_of(g, atoms), [rings[x] for x in atoms], atoms.index(mark)))
+            mass = sum(MASS[g[0][x]] + MASS["H"] * g[1][x] for x in var)
+            out.append((*keys, f"{g[0][keep]}{len(around[keep])}", mass))
+    return out
+
+
+def cut_table(df: DataFrame, ident: str, smiles: str, most: int = 13) -> DataFrame:
+    """(id, const, var, env, mass): the single cuts of each structure text that can be read, each once."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, *c) for i, s in zip(pdf["id"], pdf["smiles"]) if (g := parse_smiles(s)) for c in sorted({(x[0], x[1], x[2], round(x[3], 5)) for x in single_cuts(g, most)})]
+            yield pd.DataFrame(rows, columns=["id", "const", "var", "env", "mass"])
+
+    rows = df.select(F.col(ident).alias("id"), F.col(smiles).alias("smiles")).where("id is not null and smiles is not null")
+    # milliseconds a row: as many tasks as there are places for, however few files there are
+    spark = df.sparkSession
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, const string, var string, env string, mass double")
+
+
+def key_table(df: DataFrame, ident: str, smiles: str) -> DataFrame:
+    """(id, key, parent, parts) of each structure text; nulls where it can't be read."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, *(structure_keys(g) if (g := parse_smiles(s)) else (None, None, None))) for i, s in zip(pdf["id"], pdf["smiles"])]
+            yield pd.DataFrame(rows, columns=["id", "key", "parent", "parts"]).astype({"parts": "Int32"})
+
+    rows = df.select(F.col(ident).alias("id"), F.col(smiles).alias("smiles")).where("id is not null")
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, key string, parent string, parts int")
+
+
 def structure_facts(df: DataFrame, ident: str, smiles: str) -> DataFrame:
     """(id, n_heavy, graph_mass, n_fragments, signature) of each structure text; nulls where it can't be read."""
 

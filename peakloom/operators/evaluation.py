@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +84,48 @@ def ks_distance(df: DataFrame, x: str, side: str, weight: str | None = None) ->
     v = df.groupBy(x).agg(F.sum(F.when(F.col(side), w).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col(side), w).otherwise(0.0)).alias("b"))
     run = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     return v.select(F.abs(F.sum("a").over(run) / F.sum("a").over(Window.partitionBy()) - F.sum("b").over(run) / F.sum("b").over(Window.partitionBy())).alias("d")).agg(F.round(F.max("d"), 6).alias("ks"))
+
+
+def capped_weights(x: np.ndarray, y: np.ndarray, rounds: int = 20_000) -> np.ndarray:
+    """Weights w of at least 0 and a sum of at most 1 that bring x w nearest to y, by projected gradients with momentum."""
+    def nearest_allowed(v: np.ndarray) -> np.ndarray:
+        w = np.maximum(v, 0)
+        if w.sum() <= 1:
+            return w
+        u = np.sort(v)[::-1]
+        over = (np.cumsum(u) - 1) / np.arange(1, len(u) + 1)
+        return np.maximum(v - over[np.flatnonzero(u > over)[-1]], 0)
+
+    w = ahead = np.zeros(x.shape[1])
+    size, t = max(np.linalg.norm(x, 2) ** 2, 1e-12), 1.0
+    for _ in range(rounds):
+        new = nearest_allowed(ahead - x.T @ (x @ ahead - y) / size)
+        t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        ahead = new + (last - 1) / t * (new - w)
+        if np.abs(new - w).max(initial=0) < 1e-12:
+            return new
+        w = new
+    return w
+
+
+def mix_calibration(profiles: DataFrame, seen: DataFrame, most: int = 10_000) -> DataFrame:
+    """(name, kind, value): the weights of classes that best explain the systems' totals, and what each total would be without it.
+
+    profiles: (system, class, x), what is missing being 0; seen: (system, y). Weights are at least 0 and sum to at most 1. Rows
+    are ``weight`` for each class, ``left_out`` for each system (predicted by a fit without it) and ``rmse`` of these. Both
+    tables are of systems and classes, not of records; more than ``most`` rows are an error.
+    """
+    from peakloom.session import few
+
+    cells, totals = few(profiles.select("system", "class", "x"), most, "profile cells"), dict(map(tuple, few(seen.select("system", "y"), most, "systems")))
+    names, classes = sorted(totals), sorted({r[1] for r in cells})
+    x, y = np.zeros((len(names), len(classes))), np.array([totals[n] for n in names])
+    for s, c, v in cells:
+        if s in totals:
+            x[names.index(s), classes.index(c)] = v
+    rows = [(c, "weight", round(float(w), 4)) for c, w in zip(classes, capped_weights(x, y))] if names else []
+    left = [float(x[i] @ capped_weights(np.delete(x, i, 0), np.delete(y, i))) for i in range(len(names))] if len(names) > 1 else []
+    rows += [(n, "left_out", round(p, 4)) for n, p in zip(names, left)]
+    if left:
+        rows.append(("all", "rmse", round(float(np.sqrt(np.mean((np.array(left) - y) ** 2))), 4)))
+    return profiles.sparkSession.createDataFrame(rows, "name string, kind string, value double")

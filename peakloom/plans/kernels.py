@@ -220,44 +220,6 @@ def _(t):
     return C.neutral_mass(t.test_spectra.where("precursor_mz is not null and not isnan(precursor_mz)")).select("spectrum_id", F.round("neutral_mass", 5).alias("neutral_mass"))
 
 
-@q("k27_structure_facts")
-def _(t):
-    return C.structure_facts(t.train_structs, "sid", "smiles").select(F.col("id").alias("sid"), "n_heavy", F.round("graph_mass", 4).alias("graph_mass"), "n_fragments", F.array_join("signature", ",").alias("signature"))
-
-
-@q("k28_peak_explanation")
-def _(t):
-    def run(batches):
-        @functools.lru_cache(maxsize=20_000)
-        def masses(smiles):
-            g = C.parse_smiles(smiles)
-            return None if g is None else C.fragment_masses([C.MASS[e] + h * C.MASS["H"] for e, h in zip(g[0], g[1])], g[2])
-
-        for pdf in batches:
-            out = []
-            for rid, smiles, adduct, mz, it in zip(pdf.rid, pdf.smiles, pdf.adduct, pdf.ms2_mzs, pdf.ms2_normalized_intensities):
-                if mz is None or not len(mz) or len(mz) != len(it) or masses(smiles) is None:
-                    continue
-                ok = np.any([C.explained(masses(smiles), np.asarray(mz), ion, 2) for ion in C.ion_offsets(adduct)], axis=0)
-                v = np.sqrt(np.maximum(it, 0))
-                out.append((rid, float(ok.mean()), float((v * ok).sum() / v.sum()) if v.sum() else 0.0))
-            yield pd.DataFrame(out, columns=["rid", "count_share", "intensity_share"])
-
-    s = t.train_spectra.select("rid", "normalized_smiles", "adduct", "ms2_mzs", "ms2_normalized_intensities").withColumnRenamed("normalized_smiles", "smiles").where("smiles is not null")
-    return s.mapInPandas(run, "rid bigint, count_share double, intensity_share double").select("rid", F.round("count_share", 5).alias("count_share"), F.round("intensity_share", 5).alias("intensity_share"))
-
-
-@q("k34_rules_by_support", """WITH e AS (SELECT DISTINCT inchikey14 AS mol, substr(smiles, 1, 6) AS const, substr(smiles, 7, 6) AS var FROM train_structs WHERE length(smiles) > 14), p AS (SELECT a.var AS v1, b.var AS v2, a.mol AS m1, b.mol AS m2, a.const AS const FROM e a JOIN e b ON a.const = b.const AND a.var < b.var
-    JOIN (SELECT const FROM e GROUP BY const HAVING count(*) <= 60) f ON f.const = a.const) SELECT v1, v2, count(*) AS pairs, count(DISTINCT const) AS consts FROM p GROUP BY v1, v2 HAVING count(*) >= 2""")
-def _(t):
-    # the constant and variable parts are text here; groups beyond the cap of the operator stay out as a whole
-    e = t.train_structs.where("length(smiles) > 14").select(F.col("inchikey14").alias("mol"), F.substring("smiles", 1, 6).alias("const"), F.substring("smiles", 7, 6).alias("var")).distinct()
-    few = e.groupBy("const").agg(F.count("*").alias("n")).where("n <= 60").select("const")
-    e = e.join(few, "const", "left_semi")
-    a, b = e.select("const", F.col("var").alias("v1"), F.col("mol").alias("m1")), e.select("const", F.col("var").alias("v2"), F.col("mol").alias("m2"))
-    return a.join(b, "const").where("v1 < v2").groupBy("v1", "v2").agg(F.count("*").alias("pairs"), F.count_distinct("const").alias("consts")).where("pairs >= 2")
-
-
 @q("k37_rule_combinations", """WITH r AS (SELECT * FROM (VALUES (1, 14.01565), (2, 15.994915), (3, 18.010565), (4, 2.01565), (5, 42.010565)) r(id, d)), c AS (SELECT a.id AS a, b.id AS b, round(a.d::DOUBLE + b.d::DOUBLE, 6) AS d FROM r a JOIN r b ON a.id <= b.id UNION ALL SELECT id, NULL, round(d::DOUBLE, 6) FROM r),
     m AS (SELECT x.sid, y.sid AS other, y.mass - x.mass AS diff FROM train_structs x JOIN train_structs y ON y.mass > x.mass AND y.mass <= x.mass + 90 WHERE x.sid % 10 = 0) SELECT c.a, c.b, count(*) AS n FROM m JOIN c ON m.diff BETWEEN c.d - 0.001 AND c.d + 0.001 GROUP BY c.a, c.b""")
 def _(t):

@@ -51,6 +51,22 @@ def _(t):
     return U.reciprocal_rank_fusion([(la(t), 0.6), (lb(t), 0.4)], cap=25)
 
 
+#: Weights of the second list that are tried (fixed values).
+WEIGHTS = (0.0, 0.2, 0.4, 0.6, 1.0)
+
+
+@q("r2_rrf_weights", CTE + ", v AS (SELECT unnest([" + ", ".join(f"{w}::DOUBLE" for w in WEIGHTS) + """]) AS w), s AS (SELECT w, mid, key, 1.0::DOUBLE / (3 + rank) AS s FROM ra, v UNION ALL SELECT w, mid, key, w / (3 + rank) FROM rb, v), f AS (SELECT w, mid, key, round(sum(s), 12) AS s FROM s GROUP BY ALL),
+    k AS (SELECT w, mid, key, row_number() OVER (PARTITION BY w, mid ORDER BY s DESC, key) AS rank FROM f), a AS (SELECT k.w, k.mid, min(k.rank) AS r FROM k JOIN truth ON truth.mid = k.mid AND truth.key = k.key GROUP BY 1, 2)
+    SELECT w AS weight, count(*) AS n, round(avg(CASE WHEN r <= 25 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS mrr FROM a GROUP BY w""")
+def _(t):
+    # both lists once, each row with all weights; one pass ranks them all
+    weighted = lambda df, own: df.select("mid", "key", F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), F.lit(w if own else 1.0).alias("x")) for w in WEIGHTS])).alias("v"), "rank").select("v.weight", "mid", "key", (F.col("v.x") / (3 + F.col("rank"))).alias("s"))
+    fused = weighted(la(t), False).union(weighted(lb(t), True)).groupBy("weight", "mid", "key").agg(F.round(F.sum("s"), 12).alias("s"))
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("weight", "mid").orderBy(F.desc("s"), "key")))
+    right = ranked.join(truth(t), ["mid", "key"]).groupBy("weight", "mid").agg(F.min("rank").alias("r"))
+    return right.groupBy("weight").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("r") <= 25, 1 / F.col("r")).otherwise(0.0)), 6).alias("mrr"))
+
+
 @q("r3_rrf_zero_based", CTE + """, s AS (SELECT mid, key, 1.0::DOUBLE / (60 + rank - 1) AS s FROM ra UNION ALL SELECT mid, key, 0.6::DOUBLE / (60 + rank - 1) FROM rb), f AS (SELECT mid, key, round(sum(s), 12) AS s FROM s GROUP BY ALL)
     SELECT mid, key, rank FROM (SELECT mid, key, row_number() OVER (PARTITION BY mid ORDER BY s DESC, key) AS rank FROM f) WHERE rank <= 25""")
 def _(t):
@@ -257,4 +273,13 @@ def _(t):
     return a.join(b, "mid").where("by_a <> by_b")
 
 
+@q("v15_mix_calibration")
+def _(t):
+    # which mix of the instruments' mean qualities explains the libraries' best, with each library left out once
+    s = t.train_spectra.where("quality_score between 0 and 1").select(F.lower(F.trim("ingest_lib")).alias("system"), F.coalesce("ionization_mode", F.lit("none")).alias("class"), "quality_score", "num_peaks")
+    cells = s.groupBy("system", "class").agg(F.avg("quality_score").alias("x"))
+    seen = s.where("system is not null").groupBy("system").agg(F.avg(F.when(F.col("num_peaks") >= 20, F.col("quality_score")).otherwise(0.0)).alias("y"))
+    return V.mix_calibration(cells.where("system is not null"), seen)
+
+
 queries, oracle_sql = q.queries, q.oracle_sql

@@ -202,6 +202,13 @@ def _(t):
     return t.train_spectra.where("inchikey14 is not null").groupBy("inchikey14").agg(F.max_by("rid", F.struct("num_peaks", -F.col("rid"))).alias("richest"), F.min_by("rid", F.struct("num_peaks", "rid")).alias("poorest"))
 
 
+@q("a11_any_value", "SELECT inchikey14, min(molecular_formula) AS formula FROM train_spectra GROUP BY 1 HAVING count(DISTINCT molecular_formula) = 1")
+def _(t):
+    # which value is taken isn't defined, so those keys come out of which every value is the same
+    g = t.train_spectra.groupBy("inchikey14").agg(F.any_value("molecular_formula", True).alias("formula"), F.min("molecular_formula").alias("lo"), F.max("molecular_formula").alias("hi"))
+    return g.where("lo = hi").select("inchikey14", "formula")
+
+
 @q("a12_bool_or", "SELECT inchikey14, bool_or(instrument_type ILIKE '%tims%') AS any_tims, bool_and(num_peaks >= 5) AS all_rich, min(molecular_formula) AS formula FROM train_spectra GROUP BY 1")
 def _(t):
     return t.train_spectra.groupBy("inchikey14").agg(F.bool_or(F.col("instrument_type").ilike("%tims%")).alias("any_tims"), F.every(F.col("num_peaks") >= 5).alias("all_rich"), F.min("molecular_formula").alias("formula"))
@@ -395,6 +402,18 @@ def _(t):
     return t.train_structs.where(m.isNotNull()).groupBy(F.when(m < 250, "<250").when(m < 500, "250-500").when(m < 750, "500-750").otherwise("750+").alias("bin")).agg(F.count("*").alias("n"))
 
 
+@q("n17_frames", """SELECT sid, formula, lead(sid) OVER w AS next_sid, round(cume_dist() OVER (PARTITION BY formula ORDER BY mass), 6) AS share_below,
+        count(*) OVER (PARTITION BY formula ORDER BY mass RANGE BETWEEN 1.0 PRECEDING AND 1.0 FOLLOWING) AS within_one, round(avg(n_heavy) OVER (PARTITION BY formula ORDER BY sid ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS running
+    FROM train_structs WHERE mass IS NOT NULL AND formula IS NOT NULL WINDOW w AS (PARTITION BY formula ORDER BY sid)""")
+def _(t):
+    by = Window.partitionBy("formula")
+    s = t.train_structs.where("mass is not null and formula is not null")
+    return s.select(
+        "sid", "formula", F.lead("sid").over(by.orderBy("sid")).alias("next_sid"), F.round(F.cume_dist().over(by.orderBy("mass")), 6).alias("share_below"),
+        F.expr("count(*) OVER (PARTITION BY formula ORDER BY mass RANGE BETWEEN 1D PRECEDING AND 1D FOLLOWING)").alias("within_one"), F.round(F.avg("n_heavy").over(by.orderBy("sid").rowsBetween(-2, 0)), 6).alias("running"),
+    )
+
+
 # ---- sort, top-k, dedup, sampling
 @q("t1_order_limit", "SELECT rid, num_peaks FROM train_spectra ORDER BY num_peaks DESC, rid LIMIT 10")
 def _(t):

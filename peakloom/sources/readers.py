@@ -100,3 +100,13 @@ def from_pandas(spark: SparkSession, pdf: pd.DataFrame, view: str | None = None)
     if view:
         df.createOrReplaceTempView(view)
     return df
+
+
+def locate(spark: SparkSession, pattern: str, unique: bool = False) -> str:
+    """The path that a glob finds: the shortest one (then the first in order), or with ``unique`` the only one; an error otherwise."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    paths = sorted((f.getPath().toString() for f in found), key=lambda p: (len(p), p))
+    if not paths or unique and len(paths) > 1:
+        raise FileNotFoundError(f"{len(paths)} paths match {pattern}")
+    return paths[0]

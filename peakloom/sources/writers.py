@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,16 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def filtered_copy(df: DataFrame, drop: DataFrame, key: str, path: str, order: Sequence[str]) -> None:
     """The rows whose key isn't in ``drop``, in their order."""
     write_sorted(df.join(drop.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(*df.columns), path, order)
+
+
+def write_lookup(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """A key-to-values table in folders by a hash of the key, sorted by it: ``lookup`` reads only the folders and row groups of its keys."""
+    out = df.where(F.col(key).isNotNull()).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    out.repartition(buckets, "__bucket").sortWithinPartitions("__bucket", key).write.mode("overwrite").partitionBy("__bucket").parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, key: str, wanted: Sequence, buckets: int = 64) -> DataFrame:
+    """The rows of ``write_lookup``'s table whose key is one of a few ``wanted``."""
+    keys = spark.createDataFrame([(k,) for k in wanted], spark.read.parquet(path).select(key).schema)
+    places = [r[0] for r in keys.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).distinct().collect()]
+    return spark.read.parquet(path).where(F.col("__bucket").isin(places) & F.col(key).isin(list(wanted))).drop("__bucket")

@@ -76,3 +76,25 @@ def test_range_join_is_exact(spark):
 def test_not_in_ignores_nulls(spark):
     a = spark.createDataFrame([("x",), ("y",), (None,)], "k string")
     assert [r.k for r in J.not_in(a, spark.createDataFrame([("y",), (None,)], "k string"), "k").collect()] == ["x"]
+
+
+def test_mix_calibration(spark):
+    import numpy as np
+
+    from peakloom.operators import evaluation as V
+
+    rng = np.random.default_rng(1)
+    for true in ([0.2, 0.5, 0.1], [0.9, 0.4, 0.0]):
+        x = rng.random((8, 3))
+        w = V.capped_weights(x, x @ true)
+        grid = np.array([(a, b, c) for a in np.linspace(0, 1, 41) for b in np.linspace(0, 1, 41) for c in np.linspace(0, 1, 41) if a + b + c <= 1 + 1e-9])
+        loss = lambda v: ((x @ np.asarray(v).T - (x @ true)[:, None]) ** 2).sum(0)
+        assert w.min() >= 0 and w.sum() <= 1 + 1e-9 and loss([w])[0] <= loss(grid).min() + 1e-9
+        if sum(true) <= 1:
+            assert np.allclose(w, true, atol=1e-4)
+    profiles = spark.createDataFrame([(f"s{i}", f"c{j}", float(x[i, j])) for i in range(8) for j in range(3)], "system string, class string, x double")
+    seen = spark.createDataFrame([(f"s{i}", float(x[i] @ [0.2, 0.5, 0.1])) for i in range(8)], "system string, y double")
+    got = {(r.kind, r.name): r.value for r in V.mix_calibration(profiles, seen).collect()}
+    assert [round(got["weight", f"c{j}"], 3) for j in range(3)] == [0.2, 0.5, 0.1] and got["rmse", "all"] < 1e-3
+    assert abs(got["left_out", "s3"] - x[3] @ [0.2, 0.5, 0.1]) < 1e-3
+    assert V.mix_calibration(profiles.limit(0), seen.limit(0)).count() == 0

@@ -4,7 +4,7 @@ import pytest
 
 from oracle import connect, same
 
-MODULES = ["training", "scans", "relational", "lists", "kernels", "pipelines", "censuses"]
+MODULES = ["training", "scans", "relational", "lists", "kernels", "structures", "pipelines", "censuses"]
 
 
 def plans():

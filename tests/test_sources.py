@@ -92,3 +92,22 @@ def test_cut_tables_can_be_released(spark):
     assert len(few(spark.range(3), 3, "rows")) == 3
     with pytest.raises(ValueError):
         few(spark.range(4), 3, "rows")
+
+
+def test_lookups_read_only_their_buckets(spark, tmp_path):
+    df = spark.range(500).selectExpr("cast(id as string) as k", "id * 2 as n").union(spark.createDataFrame([(None, 1)], "k string, n bigint"))
+    W.write_lookup(df, f"{tmp_path}/t", "k", 8)
+    got = W.lookup(spark, f"{tmp_path}/t", "k", ["7", "123", "none"], 8)
+    assert sorted(map(tuple, got.collect())) == [("123", 246), ("7", 14)]
+    assert "PartitionFilters: [__bucket" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_locating_inputs(spark, tmp_path):
+    for name in ("a/long/x.csv", "b/x.csv", "c/y.csv"):
+        (tmp_path / name).parent.mkdir(parents=True)
+        (tmp_path / name).write_text("1")
+    assert S.locate(spark, f"{tmp_path}/*/x.csv").endswith("/b/x.csv") and S.locate(spark, f"{tmp_path}/{{a/long,b}}/x.csv").endswith("/b/x.csv")
+    with pytest.raises(FileNotFoundError):
+        S.locate(spark, f"{tmp_path}/*/*.csv", unique=True)
+    with pytest.raises(FileNotFoundError):
+        S.locate(spark, f"{tmp_path}/*.none")

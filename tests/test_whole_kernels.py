@@ -10,7 +10,7 @@ from oracle import connect, same
 from pyspark.sql import functions as F
 
 from peakloom.functions import chem as C
-from peakloom.plans import censuses, kernels
+from peakloom.plans import censuses, kernels, structures
 
 
 def parts(weights, bonds, cuts):
@@ -61,9 +61,9 @@ def test_explanation_opens_rings_and_knows_adducts(spark, tmp_path):
     rows = [(1, "C1CCCCC1", "[M+H]+", [ring + 1.00728], [1.0]), (2, "C1CCCCC1", "[M+Na]+", [ring + 22.98922], [1.0]), (3, "C1CCCCC1", "[M+H]+", [ring + 22.98922, 500.0], [1.0, 1.0]), (4, "C1CCCCC1", "[M-H]-", [ring - 3 * 1.00783 + 0.00055], [1.0])]
     spark.createDataFrame(rows, "rid bigint, normalized_smiles string, adduct string, ms2_mzs array<double>, ms2_normalized_intensities array<double>").write.parquet(f"{tmp_path}/train_spectra.parquet")
     spark.createDataFrame([(7, "C1CCCCC1")], "sid bigint, smiles string").write.parquet(f"{tmp_path}/train_structs.parquet")
-    got = {r.rid: r.count_share for r in kernels.queries()["k28_peak_explanation"](spark, str(tmp_path)).collect()}
+    got = {r.rid: r.count_share for r in structures.queries()["k28_peak_explanation"](spark, str(tmp_path)).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 0.0, 4: 1.0}
-    assert kernels.queries()["k27_structure_facts"](spark, str(tmp_path)).first().n_fragments == 6
+    assert structures.queries()["k27_structure_facts"](spark, str(tmp_path)).first().n_fragments == 6
 
 
 @pytest.mark.parametrize("formula", ["C6H12O6", "C5H9NO2S", "C10H15N2O6PCl2", "H4Si", "C3"])
