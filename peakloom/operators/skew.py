@@ -111,15 +111,3 @@ def bucketed_prefix(df: DataFrame, part: Sequence[str], by: Sequence[Column | st
     rows = rows.withColumn("__w", F.coalesce(within, F.lit(0)))
     on = [F.col(p).eqNullSafe(F.col(f"__p{i}")) for i, p in enumerate(part)] + [F.col("__b") == F.col("__ob")]
     return rows.join(offsets, on, "inner").withColumn(name, F.col("__w") + F.col("__off")).drop("__h", "__b", "__v", "__w", "__off", "__ob", *[f"__p{i}" for i in range(len(part))])
-
-
-def spread_labels(spark, n: int) -> list[int]:
-    """Labels of which label i hashes to partition i of n, so that ``repartition(n, label)`` gives each one its own task."""
-    seen: dict[int, int] = {}
-    at = 0
-    while len(seen) < n:
-        found = spark.range(at, at + 16 * n).select(F.col("id").cast("int").alias("v"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("v").alias("v")).collect()
-        for r in found:
-            seen.setdefault(r[0], r[1])
-        at += 16 * n
-    return [seen[i] for i in range(n)]

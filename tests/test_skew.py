@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from peakloom.operators.skew import bucketed_prefix, hot_keys, salted_join, spread_labels, tree_aggregate, tree_heaps
+from peakloom.operators.skew import bucketed_prefix, hot_keys, salted_join, tree_aggregate, tree_heaps
 from peakloom.plans.training import large_values, per_key
 
 
@@ -55,12 +55,6 @@ def test_bucketed_prefix_is_a_running_sum(spark):
         assert spans[0][0] == 0 and spans[-1][1] == total and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
 
 
-def test_labels_have_their_own_partition(spark):
-    labels = spread_labels(spark, 7)
-    df = spark.createDataFrame([(x,) for x in labels], "l int").select(F.pmod(F.hash("l"), F.lit(7)).alias("p"))
-    assert sorted(r.p for r in df.collect()) == list(range(7))
-
-
 def test_per_key_goes_through_the_tree_in_one_scan(spark, data, tmp_path):
     t = spark.read.parquet(f"{data}/train_spectra.parquet")
     t.repartition(9).write.parquet(f"{tmp_path}/t")
