@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +30,11 @@ def best_rows(query: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> n
     return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
 
 
-def in_blocks(queries: DataFrame, by: str | None, each: int, run: Callable[[pa.Table], DataFrame]) -> DataFrame:
+def in_blocks(queries: DataFrame, by: str | None, each: int, run: Callable[[pa.Table], tuple[DataFrame, Broadcast]]) -> DataFrame:
     """The union of ``run`` over blocks of about ``each`` queries: ranges of ``by`` where it is given, cut by a hash of the id.
 
-    Each block is collected (a bounded number of queries), worked on and written before the next. A value of ``by`` that many
+    Each block is collected (a bounded number of queries), worked on and written, and what was sent for it removed, before the
+    next. A value of ``by`` that many
     queries share makes several blocks.
     """
     def pieces(part: Column, n: int) -> list[Column]:
@@ -53,7 +55,9 @@ def in_blocks(queries: DataFrame, by: str | None, each: int, run: Callable[[pa.T
     for part in parts:
         block = queries.where(part).toArrow().combine_chunks().sort_by("id")
         if len(block) or found is None:
-            done = cut(run(block), "block")
+            part, sent = run(block)
+            done = cut(part, "block")
+            sent.destroy()
             found = done if found is None else found.unionByName(done)
     return found
 
@@ -149,11 +153,11 @@ def nearest_by_cells(rows: DataFrame, queries: DataFrame, k: int, zeros: bool =
     has = set(rows.columns) & set(queries.columns)
     context = rows.sparkSession.sparkContext
 
-    def one(block: pa.Table) -> DataFrame:
+    def one(block: pa.Table) -> tuple[DataFrame, Broadcast]:
         run, shared = cell_sums(block, k, zeros, "grp" in has, "apart" in has, digits, itself)
         sent = context.broadcast(shared)
         part = rows.select("id", "cells", "weights", *sorted(has & {"grp", "apart"})).mapInArrow(lambda b: run(b, sent), f"query {kind}, other {kind}, sim double")
-        return ranked(part, ["query"], k)
+        return ranked(part, ["query"], k), sent
 
     return in_blocks(queries, None, each, one)
 
@@ -229,7 +233,7 @@ def best_by_peaks(rows: DataFrame, asked: Column, kind: str, k: int, reach: floa
     queries = cut(clean_lists(sound.where(asked), ident, mz, it, prec, (group,)), "asked")
     context = rows.sparkSession.sparkContext
 
-    def one(block: pa.Table) -> DataFrame:
+    def one(block: pa.Table) -> tuple[DataFrame, Broadcast]:
         ids, p = block.column("id").to_numpy(), block.column("prec").to_numpy()
         names = pd.Index(pd.unique(block.column(group).to_pandas()), dtype=object)
         codes = names.get_indexer(block.column(group).to_pandas())
@@ -271,6 +275,6 @@ def best_by_peaks(rows: DataFrame, asked: Column, kind: str, k: int, reach: floa
         span = (float(p.min()) - at - reach, float(p.max()) - at + reach) if len(p) else (0.0, -1.0)
         near = _lists_of(sound.where(F.col(prec).between(*span)), ident, mz, it, prec, (group,))
         part = near.mapInArrow(run, f"query {kind_of}, other {kind_of}, sim double")
-        return ranked(part, ["query"], k)
+        return ranked(part, ["query"], k), sent
 
     return in_blocks(queries, "prec", each, one)
