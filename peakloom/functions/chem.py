@@ -262,18 +262,17 @@ def fragment_masses(weights: list[float], bonds: list[tuple[int, int, int]], cut
     return np.unique(np.round(np.concatenate(out), 3))
 
 
-def ion_offsets(adduct: str | None) -> list[float]:
-    """What a neutral fragment gains as an ion: the proton, and what else the adduct names that can carry the charge."""
-    text = adduct or ""
-    known = parse_adduct(text)
-    if (known[3] if known else -1 if text.endswith("-") else 1) > 0:
-        return [MASS["H"] - ELECTRON, *[m - ELECTRON for e, m in (("Na", MASS["Na"]), ("K", MASS["K"]), ("NH4", MASS["N"] + 4 * MASS["H"])) if e in text]]
-    out = [ELECTRON - MASS["H"]]
-    if "Cl" in text:
-        out.append(MASS["Cl"] + ELECTRON)
-    if "CH2O2" in text or "HCOO" in text:
-        out.append(MASS["C"] + MASS["H"] + 2 * MASS["O"] + ELECTRON)
-    return out
+#: What may carry a fragment's charge besides a proton where the adduct names it, by polarity: text of the name, formula (fixed values).
+CARRIERS = {1: {"Na": "Na", "K": "K", "NH4": "NH4"}, -1: {"Cl": "Cl", "CH2O2": "CHO2", "HCOO": "CHO2"}}
+
+
+def charge_carriers(adduct: str | None) -> list[float]:
+    """What a neutral fragment's mass gains as an ion, for each carrier that an adduct allows; the proton comes first."""
+    name = adduct or ""
+    read = parse_adduct(name)
+    way = read.polarity if read else -1 if name.endswith("-") else 1
+    formulas = {f: parse_formula(f) for text, f in CARRIERS[way].items() if text in name}
+    return [way * (MASS["H"] - ELECTRON), *[sum(MASS[e] * k for e, k in f.items()) - way * ELECTRON for f in formulas.values()]]
 
 
 def explained(masses: np.ndarray, mz: np.ndarray, ion: float, shifts: int = 1, da: float = 0.01, ppm: float = 0.0) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 LN4 = math.log(4.0)
 #: Scores up to this are rounding noise of lists that share no peak (fixed value).
 ZERO = 1e-6
-KINDS = ("entropy", "cosine", "shifted", "modified")
+KINDS = ("entropy", "cosine", "greedy", "shifted", "modified")
 
 
 class Peaks(NamedTuple):
@@ -193,6 +193,8 @@ def score(kind: str, a: Peaks, b: Peaks, prec_a: np.ndarray, prec_b: np.ndarray,
         s = entropy(a, b, da, ppm)
     elif kind == "cosine":
         s = cosine(a, b, da, ppm)
+    elif kind == "greedy":  # one to one by the largest product, as the modified cosine without a shift
+        s = modified(a, b, np.zeros(a.n), da)[0]
     elif kind == "shifted":
         s = entropy(a, b, da, ppm, prec_a - prec_b)
     elif kind == "modified":

@@ -79,7 +79,7 @@ def _(t):
             out = []
             for rid, formula, adduct, mz in zip(pdf.rid, pdf.molecular_formula, pdf.adduct, pdf.mz):
                 if search(formula) and mz is not None and len(mz):
-                    ok = np.any([search(formula)(np.asarray(mz, "f8") - ion, 0.005) for ion in C.ion_offsets(adduct)], axis=0)
+                    ok = np.any([search(formula)(np.asarray(mz, "f8") - ion, 0.005) for ion in C.charge_carriers(adduct)], axis=0)
                     out.append((rid, float(ok.mean())))
             yield pd.DataFrame(out, columns=["rid", "share"])
 

@@ -127,6 +127,11 @@ def _(t):
     return best_scores(t, "shifted", reach=150.0)
 
 
+@q("k10_greedy_cosine")
+def _(t):
+    return best_scores(t, "greedy")
+
+
 @q("k11_merged_queries")
 def _(t):
     m = S.merged_by_group(t.test_spectra.where("molecule_id is not null"), "molecule_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from peakloom.functions import spectra as S
 from peakloom.operators import joins as J
 from peakloom.operators import learning as L
 from peakloom.operators import ranking as R
@@ -29,12 +30,22 @@ def _(t):
     return R.top_k(s.withColumn("score", F.round("score", 6)).select("mid", "key", "score"), ["mid"], [F.desc("score"), F.col("key")], 5)
 
 
-@q("m7_pad_lists", "SELECT rid, list_resize(ms2_mzs, 8, 0.0) AS mz, least(len(ms2_mzs), 8) AS filled FROM train_spectra WHERE ms2_mzs IS NOT NULL")
+@q("m7_pad_lists", "SELECT rid, list_resize(ms2_mzs, 128, 0.0) AS mz, least(len(ms2_mzs), 128) AS filled FROM train_spectra WHERE ms2_mzs IS NOT NULL")
 def _(t):
-    p = L.pad_lists(t.train_spectra.where("ms2_mzs is not null").select("rid", F.col("ms2_mzs").alias("mz")), "mz", 8)
+    p = L.pad_lists(t.train_spectra.where("ms2_mzs is not null").select("rid", F.col("ms2_mzs").alias("mz")), "mz", 128)
     return p.select("rid", "mz", F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("filled"))
 
 
+UNIT = lambda salt: f"CAST(('0x' || substr(md5('{salt}:' || rid || ':' || r), 1, 12)) AS BIGINT) / pow(16, 12)"
+
+
+@q("m7b_augmented", f"""WITH k AS (SELECT rid, mz, it, row_number() OVER (PARTITION BY rid ORDER BY it DESC, mz) AS r FROM (SELECT rid, unnest(ms2_mzs) AS mz, unnest(ms2_normalized_intensities) AS it FROM train_spectra) WHERE mz > 0 AND it > 0 AND NOT isnan(mz) AND NOT isnan(it)),
+    j AS (SELECT rid, mz * (1 + (2 * {UNIT("mz")} - 1) * 5e-6) AS mz, it * (1 + (2 * {UNIT("it")} - 1) * 0.1) AS it FROM k WHERE r <= 3 OR {UNIT("drop")} >= 0.2) SELECT rid, count(*) AS n, round(max(mz), 4) AS top_mz, round(sum(it), 4) AS total FROM j GROUP BY rid""")
+def _(t):
+    s = S.augment(t.train_spectra.select("rid", "ms2_mzs", "ms2_normalized_intensities"), "rid").where(F.size("peaks") > 0)
+    return s.select("rid", F.size("peaks").cast("bigint").alias("n"), F.round(F.array_max(F.transform("peaks", lambda p: p["mz"])), 4).alias("top_mz"), F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["it"]), 4).alias("total"))
+
+
 @q("m8_query_regimes", """WITH s AS (SELECT inchikey14 AS k, count(*) AS n, count(DISTINCT ingest_lib) AS libs FROM train_spectra WHERE inchikey14 IS NOT NULL GROUP BY 1), r AS (SELECT k, CASE WHEN libs > 1 THEN 'other library' WHEN n > 1 THEN 'same library' ELSE 'unseen' END AS regime FROM s)
     SELECT k, regime FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY md5('q:' || k), k) AS x FROM r) WHERE x <= 30""")
 def _(t):

@@ -425,6 +425,11 @@ def _(t):
     return R.top_k(t.train_spectra.select("ingest_lib", "rid", "num_peaks"), ["ingest_lib"], [F.desc("num_peaks"), F.col("rid")], 5).select("ingest_lib", "rid")
 
 
+@q("t14_shuffled_head", "SELECT inchikey14, rid FROM (SELECT inchikey14, rid, row_number() OVER (PARTITION BY inchikey14 ORDER BY md5('s:' || rid), rid) AS r FROM train_spectra WHERE inchikey14 IS NOT NULL) WHERE r <= 4")
+def _(t):
+    return R.capped_sample(t.train_spectra.where("inchikey14 is not null").select("inchikey14", "rid"), ["inchikey14"], "rid", 4, "s").select("inchikey14", "rid")
+
+
 @q("t6_priority_dedup", "SELECT inchikey14, rid FROM (SELECT inchikey14, rid, row_number() OVER (PARTITION BY inchikey14 ORDER BY CASE WHEN instrument_type ILIKE '%tims%' THEN 0 ELSE 1 END, num_peaks DESC, rid) AS r FROM train_spectra WHERE inchikey14 IS NOT NULL) WHERE r = 1")
 def _(t):
     tims = F.when(F.col("instrument_type").ilike("%tims%"), 0).otherwise(1)

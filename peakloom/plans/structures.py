@@ -60,7 +60,7 @@ def _(t):
                     continue
                 known[rows] = True
                 at = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in rows])
-                for ion in C.ion_offsets(adduct):
+                for ion in C.charge_carriers(adduct):
                     loose[at] |= C.explained(parts, m[at], ion, 2, ppm=15.0)
                     strict[at] |= C.explained(parts, m[at], ion, 1, ppm=15.0)
             keep = pa.array(known & (np.diff(starts) > 0))

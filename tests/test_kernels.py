@@ -97,6 +97,8 @@ def test_batches_score_as_single_pairs_do(rows, tol):
     assert close(M.entropy(a, b, tol), [slow_entropy(x, y, tol) for x, y, _ in rows])
     assert close(M.entropy(a, b, tol, shift=shift), [slow_entropy(x, y, tol, s if abs(s) > 1e-4 else None) for x, y, s in rows])
     assert close(M.modified(a, b, shift, tol)[0], [slow_modified(x, y, s, tol) for x, y, s in rows])
+    nothing = np.zeros(len(rows))
+    assert close(M.score("greedy", a, b, nothing, nothing, tol), [w if (w := slow_modified(x, y, 0.0, tol)) > 1e-6 else 0.0 for x, y, _ in rows])
     dots = [sum(x[i][1] * y[j][1] for i, j in walked(x, y, tol)) / math.sqrt(sum(w * w for _, w in x) * sum(w * w for _, w in y)) if x and y else 0.0 for x, y, _ in rows]
     assert close(M.cosine(a, b, tol), dots)
 
@@ -117,7 +119,7 @@ def test_cleaning_in_batches_equals_cleaning_in_rows(spark, data):
 
 
 @pytest.mark.parametrize("each", [8192, 2])
-@pytest.mark.parametrize("kind", ["entropy", "cosine", "modified", "shifted"])
+@pytest.mark.parametrize("kind", ["entropy", "cosine", "greedy", "modified", "shifted"])
 def test_best_by_peaks_equals_all_pairs(spark, kind, each):
     from peakloom.operators.blocks import best_by_peaks
 
