@@ -7,6 +7,7 @@ the labelled documents; labels that the first round of machines contradicts are
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from itertools import combinations
@@ -43,6 +44,8 @@ SAMPLE_DOCUMENTS, SAMPLE_PASSAGES, EPOCHS = 20_000, 1000, 3
 BITS = 16
 #: Characters of a passage of the sample at most.
 LONGEST = 2_000
+#: Documents that are read together.
+TOGETHER = 2_048
 #: Characters that are scored at once of a long passage.
 PART = 20_000
 #: A passage has at least so many words (or characters, where words aren't divided).
@@ -50,7 +53,7 @@ LEAST_WORDS, LEAST_SIGNS = 4, 6
 PIECE = 9
 
 _ALIAS = {n: code for code, names in NAMES.items() for n in names.split()}
-_CODED = re.compile(r"[A-Za-z+\[(/-]{0,40}\d[A-Za-z0-9.,:+\-\[\]()/]*|\[[^\[\]\s]{0,60}\][+-]?|\b[A-Z]{2}-(?=\s|$)")
+_CODED = re.compile(r"(?<![A-Za-z+\[(/-])[A-Za-z+\[(/-]*+\d[A-Za-z0-9.,:+\-\[\]()/]*|\[[^\[\]\s]{0,60}\][+-]?|\b[A-Z]{2}-(?=\s|$)")
 #: Without any of these a text has no code.
 _MAYBE_CODED = re.compile(r"[\d\[]|[A-Z]-")
 _REMARK = re.compile(r"\([^()\n]{0,80}\)|（[^（）\n]{0,40}）|\[[^\[\]\n]{0,80}\]|“[^“”\n]{0,60}”|„[^„“\n]{0,60}“|«[^«»\n]{0,60}»|「[^「」\n]{0,30}」|\"[^\"\n]{0,60}\"")
@@ -181,7 +184,9 @@ def _chunks(sizes: list[int], most: int):
 def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int) -> np.ndarray:
     """Weights (slots x classes) of linear machines with the hinge loss, by averaged stochastic descent; y is +1 or -1."""
     rng = np.random.default_rng(seed)
-    w, total = np.zeros((1 << BITS, y.shape[1]), "f4"), np.zeros((1 << BITS, y.shape[1]), "f4")
+    one = y.shape[1] == 1
+    shape = (1 << BITS,) if one else (1 << BITS, y.shape[1])
+    w, total, sides = np.zeros(shape, "f4"), np.zeros(shape, "f4"), y[:, 0] if one else y
     step = 0
     for epoch in range(EPOCHS):
         rate = np.float32(1.0 / (1 + epoch))
@@ -190,12 +195,13 @@ def _svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int) ->
             # half of the n-grams are left out each time, lest a name that is frequent in one language decide alone
             kept = rng.random(len(slot)) < 0.5
             slot, x = slot[kept], x[kept] * 2
-            wrong = (x @ w[slot]) * y[i] < 1
-            if wrong.any():
-                change = rate * x[:, None] * (y[i] * wrong)[None, :].astype("f4")
+            wrong = (x @ w[slot]) * sides[i] < 1
+            if wrong if one else wrong.any():
+                change = rate * x * sides[i] if one else rate * x[:, None] * (sides[i] * wrong)[None, :].astype("f4")
                 w[slot] += change
                 total[slot] += step * change
             step += 1
+    w, total = w.reshape(len(w), -1), total.reshape(len(w), -1)
     w -= total / max(1, step)
     most = np.quantile(np.abs(w[np.any(w != 0, axis=1)]), 0.98, axis=0)
     return np.clip(w, -most, most).astype("f4")
@@ -397,19 +403,23 @@ def _script_of(lang: str) -> str:
 
 def stretches(model: Model, texts: list[str | None]) -> list[list[tuple[str, float, str]]]:
     """For each text, its stretches in one language: (language, confidence, words)."""
-    cut = [passages(t) if t else [] for t in texts]
-    langs, sure = model.classify_parts([s for ps in cut for s in ps])
-    out, at = [], 0
+    # equal texts are cut once, equal sentences scored once
+    known: dict[str, list] = {t: passages(t) for t in set(texts) if t}
+    cut = [known.get(t, []) if t else [] for t in texts]
+    sentences = list({(k, p): (k, p, pieces) for ps in known.values() for k, p, pieces in ps}.values())
+    langs, sure = model.classify_parts(sentences)
+    place = dict(zip([(k, p) for k, p, _ in sentences], itertools.accumulate((1 + len(pieces) for _, _, pieces in sentences), initial=0)))
+    out = []
     for ps in cut:
         parts: list[tuple[str, float, str]] = []
-        for _, p, pieces in ps:
+        for k, p, pieces in ps:
+            at = place[k, p]
             x, c = langs[at], float(sure[at])
             at += 1
             if not pieces:
                 parts.append((x, c, p))
                 continue
             own = [(langs[at + i], float(sure[at + i]), q) for i, q in enumerate(pieces)]
-            at += len(pieces)
             if all(y == x or d < CERTAIN or len(q) < LEAST_PIECE for y, d, q in own):
                 parts.append((x, c, p))
             else:
@@ -444,8 +454,8 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
+            for lo in range(0, len(pdf), TOGETHER):
+                part = pdf.iloc[lo : lo + TOGETHER]
                 rows = [(d, i, *s) for d, ss in zip(part.doc_id.tolist(), stretches(shared.value, part.text.tolist())) for i, s in enumerate(ss)]
                 yield pd.DataFrame(rows, columns=["doc_id", "part", "lang", "confidence", "words"])
 
@@ -459,8 +469,8 @@ def document_languages(documents: DataFrame, model: Model | None = None) -> Data
 
     def run(batches):
         for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
+            for lo in range(0, len(pdf), TOGETHER):
+                part = pdf.iloc[lo : lo + TOGETHER]
                 rows = []
                 for d, label, ss in zip(part.doc_id.tolist(), part.lang.tolist(), stretches(shared.value, part.text.tolist())):
                     by: dict[str, list] = {}
