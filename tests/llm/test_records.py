@@ -197,3 +197,29 @@ def test_too_many_targets_are_an_error(spark):
     many = spark.range(splits.MOST_SPLITS + 1).selectExpr("cast(id as string) as split_name", "1.0 as target_share")
     with pytest.raises(ValueError):
         splits.assign_splits(spark.createDataFrame([], "rid bigint, inchikey14 string, inchikey string"), spark.createDataFrame([], "inchikey14 string, key string"), many)
+
+
+def test_heaps_of_a_hot_contributor(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, " Lib" if i % 3 else "other", "ABCDEFGHIJKLMN" if i % 2 else f"{'ABCDEFGHIJKLM'}{chr(65 + i % 26)}", None, float(rng.choice([0.1, 0.5, 0.9, 2.0, float("nan")]))) for i in range(2000)]
+    rows += [(None, "lib", "ABCDEFGHIJKLMN", None, 1.0), (5000, None, "ABCDEFGHIJKLMN", None, 1.0), (5001, "lib", "?", None, 1.0)]
+    df = spark.createDataFrame(rows, "rid bigint, ingest_lib string, inchikey14 string, inchikey string, quality_score double").repartition(13)
+    groups = defaultdict(list)
+    for rid, lib, key, _, score in rows[:2000]:
+        sound = 0 <= score <= 1
+        groups[lib.strip().lower(), key].append((not sound, -score if sound else 0.0, rid))
+    want = {r for g in groups.values() for _, _, r in sorted(g)[:5]}
+    got = {r.rid: r.kept for r in capping.cap_records(df).collect()}
+    assert got == {i: i in want for i in range(2000)}
+    assert {r.rid for r in capping.dropped(df).collect()} == set(range(2000)) - want
+
+
+def test_a_hot_cell_of_peaks(spark):
+    # half of all training spectra share precursor and their strongest peaks with each other, and with few of the evaluation spectra
+    train = [(i, 300.0, [100.0, 150.0, 200.0 + (i % 40)], [5.0, 4.0, 1.0 + i % 3]) if i % 2 else (i, 310.0 + i, [100.0 + i], [1.0]) for i in range(600)]
+    test = [("a", 300.0, [100.0, 150.0, 201.0], [5.0, 4.0, 2.0]), ("b", 300.01, [100.01, 150.01, 203.0], [5.0, 4.0, 1.0]), ("c", 300.0, [90.0, 150.0], [9.0, 1.0])]
+    cols = "precursor_mz double, ms2_mzs array<double>, ms2_normalized_intensities array<double>"
+    got = {(r.rid, r.spectrum_id) for r in overlaps.matches(spark.createDataFrame(train, f"rid bigint, {cols}"), spark.createDataFrame(test, f"spectrum_id string, {cols}")).collect()}
+    share = lambda x: np.array(x) / sum(x)
+    want = {(r[0], t[0]) for r in train for t in test if abs(r[1] - t[1]) <= 0.02 + 1e-9 and overlap(np.array(r[2]), share(r[3]), np.array(t[2]), share(t[3]), 0.02) >= 0.9 - 1e-9}
+    assert got == want and len(want) > 100
