@@ -223,3 +223,39 @@ def test_a_hot_cell_of_peaks(spark):
     share = lambda x: np.array(x) / sum(x)
     want = {(r[0], t[0]) for r in train for t in test if abs(r[1] - t[1]) <= 0.02 + 1e-9 and overlap(np.array(r[2]), share(r[3]), np.array(t[2]), share(t[3]), 0.02) >= 0.9 - 1e-9}
     assert got == want and len(want) > 100
+
+
+def _shuffled(spark) -> int:
+    """Records that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    empty = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(empty, False, False, sc._gateway.new_array(sc._jvm.double, 0), empty)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_overlaps_shuffle_spectra_and_no_segments(spark):
+    # 80 of either side share precursor and m/z of all peaks; each training string has one partner
+    rng = np.random.default_rng(11)
+    mz = np.sort(rng.uniform(60, 290, 30))
+    its = rng.exponential(1.0, (80, 30)) ** 3
+    cols = "precursor_mz double, ms2_mzs array<double>, ms2_normalized_intensities array<double>"
+    df = lambda ids, kind: spark.createDataFrame([(x, 300.0, mz.tolist(), a.tolist()) for x, a in zip(ids, its)], f"{kind}, {cols}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    before = _shuffled(spark)
+    got = {tuple(r)[:2] for r in overlaps.matches(df(range(80), "rid bigint"), df([f"t{i}" for i in range(80)], "spectrum_id string")).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert _shuffled(spark) - before < 1_000
+    assert {(i, f"t{i}") for i in range(80)} <= got
+
+
+def test_a_crowded_cell_is_dealt_over_tasks(spark):
+    # precursors on both sides of a cell's end; ids and spectra repeat on both sides
+    train = [(i % 50, 299.99 + 0.005 * (i % 7), [100.0, 150.0, 200.0 + i % 5], [5.0, 4.0, 1.0]) for i in range(90)]
+    test = [(f"t{i % 4}", 299.98 + 0.01 * (i % 5), [100.0, 150.01, 200.0 + i % 5], [5.0, 4.0, 1.0]) for i in range(12)] * 2
+    cols = "precursor_mz double, ms2_mzs array<double>, ms2_normalized_intensities array<double>"
+    a, b = spark.createDataFrame(train, f"rid bigint, {cols}"), spark.createDataFrame(test, f"spectrum_id string, {cols}")
+    share = lambda x: np.array(x) / sum(x)
+    want = Counter((r[0], t[0]) for r in train for t in test if abs(r[1] - t[1]) <= 0.02 + 1e-9 and overlap(np.array(r[2]), share(r[3]), np.array(t[2]), share(t[3]), 0.02) >= 0.9 - 1e-9)
+    for rows in (7, 1 << 16):
+        assert Counter((r.rid, r.spectrum_id) for r in overlaps.matches(a, b, rows=rows).collect()) == want
