@@ -29,8 +29,8 @@ from peakloom.session import cut
 TOLERANCE, THRESHOLD = 0.02, 0.9
 #: Segments that have to reappear, where a spectrum has enough of them.
 NEED = 3
-#: Training strings of a cell of the precursor that one task gets, shared segments that are held at once, and pairs that are compared at once.
-ROWS, SHARED, PAIRS = 65_536, 250_000, 4_096
+#: Training strings of a cell of the precursor that one task gets, shared segments that are held at once, and peaks of pairs that are compared at once.
+ROWS, SHARED, PEAKS = 65_536, 250_000, 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 16
 
@@ -246,8 +246,11 @@ class _Segments:
         """Arrays (training string, evaluation string, overlap) of those that overlap enough."""
         x, y = train.peaks, self.strings.peaks
         for rs, ts in self.pairs(train, lost):
-            for s in range(0, len(rs), PAIRS):
-                r, t = rs[s : s + PAIRS], ts[s : s + PAIRS]
+            ends = np.concatenate([[0], np.cumsum(np.diff(train.starts)[rs] + np.diff(self.strings.starts)[ts])])
+            s = 0
+            while s < len(rs):
+                e = max(s + 1, int(np.searchsorted(ends, ends[s] + PEAKS, "right")) - 1)
+                r, t, s = rs[s:e], ts[s:e], e
                 a, b = x.take(r), y.take(t)
                 i, j = near(a, b, self.tol + 2 * EPS)
                 # the sum over all pairs of peaks is no less than that over any that are one to one
