@@ -13,8 +13,8 @@ from peakloom.session import cut, few, release
 
 #: Splits at most; more are an error.
 MOST_SPLITS = 10_000
-#: Bits of a subset-sum set; with more rows than this, sizes are counted in units of rows / RESOLUTION.
-RESOLUTION = 1 << 22
+#: Bits of the subset-sum sets that are kept at once (128 MB).
+ROOM = 1 << 30
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -72,15 +72,16 @@ def moved_records(records: DataFrame, structs: DataFrame) -> DataFrame:
     return out.where("group_key is not null and (inchikey14 is null or inchikey14 <> group_key)").select("rid", "group_key")
 
 
-def closest_subset(sizes: dict[int, int], goal: int, over: bool = True) -> dict[int, int]:
-    """How many groups of each size to take so that their total is as near to ``goal`` as any choice can be, or any that isn't ``over`` it.
+def closest_subset(sizes: dict[int, int], goal: int, room: int = ROOM) -> dict[int, int]:
+    """How many groups of each size to take so that their total is as near to ``goal`` as any choice can be.
 
     ``sizes`` has the multiplicity of each size. Bit t of a set says that total t can be reached; each size adds 1, 2, 4, ...
     of its groups at a time, by a shift and an or. Of two equally near totals the smaller is taken. On the way back the sets are
-    needed once more: one in about the root of their number is kept, and the sets between two of those are made again.
+    needed once more: one in about the root of their number is kept, and the sets between two of those are made again. Where
+    that would be more than ``room`` bits, fewer are kept and more made again, with the same result.
     """
     goal = max(0, int(goal))
-    limit = 2 * goal + 1 if over else goal  # beyond twice the goal, taking nothing is nearer
+    limit = 2 * goal + 1  # beyond twice the goal, taking nothing is nearer
     mask = (1 << (limit + 1)) - 1
     items = []
     for size in sorted(sizes, reverse=True):
@@ -90,23 +91,31 @@ def closest_subset(sizes: dict[int, int], goal: int, over: bool = True) -> dict[
             items.append((size, take))
             left, step = left - take, step * 2
     add = lambda bits, item: (bits | (bits << (item[0] * item[1]))) & mask
-    every = math.isqrt(len(items)) + 1
-    kept, reach = [], 1
-    for i, item in enumerate(items):
-        if i % every == 0:
-            kept.append(reach)
-        reach = add(reach, item)
-    total = _nearest(reach, goal)
+    most = max(2, min(math.isqrt(len(items)) + 1, room // (2 * (limit + 1))))
     out: dict[int, int] = {}
-    for block in reversed(range(len(kept))):
-        part = items[block * every : (block + 1) * every]
-        sets = [kept.pop()]
-        for item in part[:-1]:
-            sets.append(add(sets[-1], item))
-        for (size, take), before in zip(reversed(part), reversed(sets)):
-            if not before >> total & 1:
+
+    def back(lo: int, hi: int, reach: int, total: int | None) -> int:
+        """The total before item ``lo``; None stands for the best total that all items reach."""
+        if hi - lo == 1 and total is not None:
+            if not reach >> total & 1:
+                size, take = items[lo]
                 total -= size * take
                 out[size] = out.get(size, 0) + take
+            return total
+        every, kept = max(1, -(-(hi - lo) // most)), []
+        for i in range(lo, hi if total is None else hi - 1):
+            if (i - lo) % every == 0:
+                kept.append(reach)
+            reach = add(reach, items[i])
+        if total is None:
+            total = _nearest(reach, goal)
+        elif (hi - 1 - lo) % every == 0:
+            kept.append(reach)
+        for block in reversed(range(len(kept))):
+            total = back(lo + block * every, min(hi, lo + (block + 1) * every), kept.pop(), total)
+        return total
+
+    back(0, len(items), 1, None)
     return out
 
 
@@ -117,44 +126,22 @@ def _nearest(reach: int, goal: int) -> int:
     return below if up is None or goal - below <= up - goal else up
 
 
-def split_quotas(histogram: dict[int, int], targets: list[tuple[str, float]], resolution: int = RESOLUTION) -> dict[int, list[tuple[str, int]]]:
+def split_quotas(histogram: dict[int, int], targets: list[tuple[str, float]], room: int = ROOM) -> dict[int, list[tuple[str, int]]]:
     """For each size, how many of its groups go to each split.
 
-    The smallest targets choose first; the split with the largest target gets the rest. With at most ``resolution`` rows no
-    other choice of a split is nearer to its share. With more rows sizes are counted in units of rows / resolution, rounded up,
-    so that a choice stays below the share; then groups are added, the largest that fits first, until none that is left fits:
-    what is missing is less than the smallest group that is left (one row, where there are records without a key).
+    The smallest targets choose first; the split with the largest target gets the rest. With any number of rows no other
+    choice of a split, from the groups that are left to it, is nearer to its share.
     """
     total = sum(s * n for s, n in histogram.items())
     shares = sum(max(0.0, w or 0.0) for _, w in targets) or 1.0
     ordered = sorted(targets, key=lambda t: (max(0.0, t[1] or 0.0), t[0]))
-    unit = max(1, -(-total // resolution))
     left = dict(histogram)
     out: dict[int, list[tuple[str, int]]] = {s: [] for s in histogram}
     for name, weight in ordered[:-1]:
         want = total * max(0.0, weight or 0.0) / shares
-        by_unit: dict[int, list[int]] = {}
-        for s, n in left.items():
-            if n and s >= unit:
-                by_unit.setdefault(-(-s // unit), []).append(s)
-        goal = round(want) if unit == 1 else int(want // unit)
-        take = closest_subset({u: sum(left[s] for s in ss) for u, ss in by_unit.items()}, goal, over=unit == 1)
-        chosen = {s: 0 for s in left}
-        for u, n in take.items():
-            for s in sorted(by_unit[u]):
-                k = min(n, left[s])
-                chosen[s] += k
-                n -= k
-        got = sum(s * k for s, k in chosen.items())
-        if unit > 1:
-            for s in sorted(left, reverse=True):
-                k = min(left[s] - chosen[s], int(max(0, want - got) // s))
-                chosen[s] += k
-                got += k * s
-        for s, k in chosen.items():
-            if k:
-                out[s].append((name, k))
-                left[s] -= k
+        for s, k in closest_subset({s: n for s, n in left.items() if n}, round(want), room).items():
+            out[s].append((name, k))
+            left[s] -= k
     for s, n in left.items():
         if n:
             out[s].append((ordered[-1][0], n))

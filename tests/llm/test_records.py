@@ -259,3 +259,24 @@ def test_a_crowded_cell_is_dealt_over_tasks(spark):
     want = Counter((r[0], t[0]) for r in train for t in test if abs(r[1] - t[1]) <= 0.02 + 1e-9 and overlap(np.array(r[2]), share(r[3]), np.array(t[2]), share(t[3]), 0.02) >= 0.9 - 1e-9)
     for rows in (7, 1 << 16):
         assert Counter((r.rid, r.spectrum_id) for r in overlaps.matches(a, b, rows=rows).collect()) == want
+
+
+def test_quotas_are_the_nearest_beyond_four_million_records():
+    histogram = {1001: 3000, 1501: 1001}
+    total = sum(s * n for s, n in histogram.items())
+    assert total > 1 << 22
+    goal = round(total * 0.1)
+    a, b = np.meshgrid(np.arange(3001), np.arange(1002))
+    best = int(np.abs(a * 1001 + b * 1501 - goal).min())
+    for room in (1 << 30, 1000):
+        got = splits.split_quotas(histogram, [("train", 0.9), ("val", 0.1)], room)
+        assert {s: sum(n for _, n in parts) for s, parts in got.items()} == histogram
+        assert abs(sum(s * n for s, parts in got.items() for x, n in parts if x == "val") - goal) == best
+
+
+def test_the_room_for_subset_sums_makes_no_difference():
+    rng = np.random.default_rng(5)
+    for k in (0, 1, 2, 7, 40):
+        sizes = {int(s): int(n) for s, n in zip(rng.integers(1, 300, k), rng.integers(1, 40, k))}
+        takes = [splits.closest_subset(sizes, 1_700, room) for room in (1 << 30, 20_000, 1)]
+        assert takes[0] == takes[1] == takes[2]
