@@ -11,6 +11,13 @@ import numpy as np
 DEGREE, BEAM, RELAX, BATCH, ENTRIES, PASSES = 24, 48, 1.2, 512, 16, 2
 #: Nodes that a query expands in a step.
 EXPAND = 4
+#: Numbers in the table of the nodes that a batch of queries has named; large graphs are searched in smaller batches.
+NAMED = 1 << 25
+
+
+def batch_of(n: int) -> int:
+    """Queries that are searched at once in a graph of ``n`` nodes."""
+    return max(32, min(BATCH, NAMED // max(1, n)))
 
 
 _EVERY_OTHER, _LANES = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
@@ -57,16 +64,18 @@ class Bits:
 
     def sketch(self, tables: int, seed: int) -> np.ndarray:
         """A key for each table and vector; similar vectors often share it (two minimum hashes of the bits that are set)."""
-        bits = np.unpackbits(self.x.view("u1"), axis=1)
-        row, bit = np.nonzero(bits)
-        starts = np.minimum(np.searchsorted(row, np.arange(len(self.x))), max(0, len(row) - 1))
+        width = self.x.shape[1] * 64
         rng = np.random.default_rng(seed)
+        ranks = [[rng.permutation(width).astype("i4") for _ in range(2)] for _ in range(tables)]
         out = np.zeros((tables, len(self.x)), "i8")
-        for t in range(tables):
-            for _ in range(2):
-                rank = rng.permutation(bits.shape[1]).astype("i4")
-                if len(row):
-                    out[t] = out[t] * bits.shape[1] + np.minimum.reduceat(rank[bit], starts)
+        for lo in range(0, len(self.x), 16_384):
+            part = slice(lo, lo + 16_384)
+            row, bit = np.nonzero(np.unpackbits(self.x[part].view("u1"), axis=1))
+            starts = np.minimum(np.searchsorted(row, np.arange(len(self.x[part]))), max(0, len(row) - 1))
+            if len(row):
+                for t, pair in enumerate(ranks):
+                    for rank in pair:
+                        out[t, part] = out[t, part] * width + np.minimum.reduceat(rank[bit], starts)
         return out
 
 
@@ -110,16 +119,16 @@ class Graph:
         self.sorted = [k[o] for k, o in zip(self.sketches, self.orders)]
         self.alive = np.zeros(n, bool)
         rng = np.random.default_rng(seed)
-        order, at, size = rng.permutation(n), 0, 32
+        order, at, size, most = rng.permutation(n), 0, 32, batch_of(n)
         self.start = order[:4].astype("i4")
         while at < n:
             batch = order[at : at + size]
             self._insert(batch)
             at += len(batch)
-            size = min(BATCH, size * 2)
+            size = min(most, size * 2)
         for _ in range(passes - 1):  # again, now that all are there
-            for lo in range(0, n, BATCH):
-                self._insert(order[lo : lo + BATCH])
+            for lo in range(0, n, most):
+                self._insert(order[lo : lo + most])
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("sketches",)}

@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.peaks import flat_peaks
-from peakloom.llm.graph import BATCH, ENTRIES, Bits, Dense, Graph, ones
+from peakloom.llm.graph import ENTRIES, Bits, Dense, Graph, batch_of, ones
 from peakloom.operators.blocks import nearest_by_cells
 from peakloom.operators.skew import hot_keys, salted_join
 from peakloom.session import cut
 
 K = 5
 FP_BYTES = 128
-#: Distinct vectors of a shard; small inputs are cut into up to FEW shards of at least a few thousand for the sake of parallel work.
-SHARD, FEW, SMALL = 32_768, 6, 8_192
+#: Distinct vectors of a shard, and those up to which its searches keep the beam of SPACES; in larger shards the beam grows so that recall doesn't fall. Small inputs are cut into up to FEW shards of at least a few thousand for the sake of parallel work.
+SHARD, PLAIN, FEW, SMALL = 131_072, 32_768, 6, 8_192
 #: Where a query isn't to search all shards: pivots are the first rows of a hash order, PIVOTS a shard, MOST_PIVOTS at most; a row is indexed with its COPIES nearest ones.
 PIVOTS, MOST_PIVOTS, COPIES = 8, 4_096, 2
 #: Queries of one search task: at least the first number, at most the second; in between, as few as make TASKS tasks.
@@ -47,6 +47,11 @@ def _exact(space, q: np.ndarray, qn: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return space.sim(q, qn, ids).astype("f8")
 
 
+def beam_of(beam: int, n: int) -> int:
+    """The beam of searches in a shard of ``n`` vectors."""
+    return max(beam, int(beam * (n / PLAIN) ** (2 / 3)))
+
+
 def classes_of(rows: DataFrame, ident: str, vector: str, keep: int) -> DataFrame:
     """(vec, rep, n, first): each distinct vector, its smallest id, its number of rows and its ``keep`` smallest ids."""
     base = rows.select(F.col(ident).alias("id"), F.col(vector).alias("vec")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(32)).cast("int"))
@@ -161,10 +166,11 @@ def class_neighbours(classes: DataFrame, space: str, k: int, queries: DataFrame
         q = pd.concat(queries)
         asked, mine = make(q.vec.tolist()), q.rep.to_numpy().astype(reps.dtype)
         keys = asked.sketch(ENTRIES // 2, SEED)
-        for lo in range(0, len(mine), BATCH):
-            rows = np.arange(lo, min(lo + BATCH, len(mine)))
+        each, width = batch_of(len(reps)), beam_of(beam, len(reps))
+        for lo in range(0, len(mine), each):
+            rows = np.arange(lo, min(lo + each, len(mine)))
             x, xn = asked.take(rows)
-            ids, _ = graph.search(x, xn, keys[:, rows], beam=beam)
+            ids, _ = graph.search(x, xn, keys[:, rows], beam=width)
             sims = _exact(graph.space, x, xn, np.maximum(ids, 0))
             other = reps[np.maximum(ids, 0)]
             bad = (ids < 0) | (other == mine[rows][:, None])

@@ -119,3 +119,21 @@ def test_spectra(spark, data):
     assert {len(v) for v in by.values()} == {5} and set(by) == set(ids[asked])
     assert np.mean([sum(v >= kth[i] - 1e-4 for v in by[ids[a]]) / 5 for i, a in enumerate(asked)]) > 0.9
     assert N.similar_spectra(s.limit(0)).count() == 0
+
+
+def test_a_million_vectors_make_few_shards(spark):
+    # a query searches all shards, so its work grows with their number
+    classes = spark.createDataFrame([(i, bytes([i]) * 128) for i in range(1, 30)], "rep bigint, vec binary")
+    shards, dealt, asked = N._routes(classes, classes, "bits", 1_000_000, N.SHARD, None)
+    assert N.beam_of(48, 8_000) == N.beam_of(48, 32_768) == 48 and N.beam_of(48, 71_342) == 80
+    assert shards <= 8 and dealt.count() == 29 and asked.count() == 29 * shards
+
+
+def test_large_graphs_are_searched_in_small_batches():
+    from peakloom.llm import graph
+
+    assert [graph.batch_of(n) for n in (0, 1, 30_000, 65_536)] == [512] * 4
+    assert all(graph.batch_of(n) * n <= graph.NAMED for n in (100_000, N.SHARD, 1_000_000))
+    x = np.random.default_rng(3).integers(0, 256, (16_400, 128)).astype("u1")
+    whole = graph.Bits(x).sketch(2, 5)
+    assert (whole[:, 16_380:] == graph.Bits(x[16_380:]).sketch(2, 5)).all()
