@@ -108,3 +108,25 @@ def test_peaks_beyond_the_sixty_strongest_count(spark, tmp_path):
     # the record with other weak peaks has less of a vote
     votes = {r.qid: r.expected_bits for r in run("k16_votes")}
     assert votes[100] > 5.5
+
+
+def test_no_pair_is_better_than_its_bound():
+    # pairs that aren't compared: their bound must hold whatever the shift, and be 0 where no peak can meet
+    from peakloom.functions import similarity
+    from peakloom.operators.blocks import Bounds
+
+    rng = np.random.default_rng(4)
+    n = 60
+    prec = rng.choice([300.0, 300.00005, 314.0157, 330.01, 420.5], n)
+    size = rng.integers(1, 30, n)
+    grid = np.round(rng.uniform(50, 280, 40), 2)
+    rows = np.repeat(np.arange(n), size)
+    mz = rng.choice(grid, len(rows)) + np.where(rng.random(len(rows)) < 0.5, prec[rows] - 300, 0) + rng.choice([-0.01, 0.0, 0.01], len(rows))
+    order = np.lexsort((mz, rows))
+    p = similarity.entropy_weights(similarity.Peaks(n, rows, mz[order], rng.exponential(1.0, len(rows))))
+    most = Bounds(p, prec, 0.02).of(p, prec).reshape(n, n)
+    r, q = (x.ravel() for x in np.indices((n, n)))
+    sims = similarity.score("shifted", p.take(q), p.take(r), prec[q], prec[r], 0.02)
+    assert (most[r, q] >= sims - 1e-9).all() and (sims > 0.3).sum() > n and (most[r, q] < 0.3).sum() > n
+    far = similarity.Peaks(1, np.zeros(2, "i8"), np.array([10.0, 20.0]), np.array([0.5, 0.5]))
+    assert (Bounds(p, prec, 0.02).of(far, np.array([5000.0])) == 0).all()
